@@ -4,12 +4,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.llm import quality, url_filter
+from loamgrid.llm import pieces, quality, url_filter
 from loamgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -19,7 +29,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_url_filter, op8_quality)}
+    return {f.__name__: f for f in (op5_sentencepiece, op6_url_filter, op8_quality)}
 
 
 OP6_SQL = """
