@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.llm import pieces, quality, url_filter
+from loamgrid.llm import mixing, pieces, quality, url_filter
 from loamgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_sentencepiece, op6_url_filter, op8_quality)}
+    return {f.__name__: f for f in (op5_sentencepiece, op6_url_filter, op7_mixing, op8_quality)}
 
 
 OP6_SQL = """
