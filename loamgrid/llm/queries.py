@@ -4,12 +4,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.llm import mixing, pieces, quality, url_filter
+from loamgrid.llm import mixing, pieces, quality, substring_dedup, url_filter
 from loamgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -33,7 +37,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_sentencepiece, op6_url_filter, op7_mixing, op8_quality)}
+    return {f.__name__: f for f in (op1_substring_dedup, op5_sentencepiece, op6_url_filter, op7_mixing, op8_quality)}
 
 
 OP6_SQL = """
@@ -45,5 +49,14 @@ j AS (SELECT page_id, host, path, (SELECT max_by(r.h || r.p, length(r.h || r.p))
 SELECT page_id, host, path, rule, coalesce((SELECT v FROM r WHERE r.h || r.p = rule), 'allow') AS verdict FROM j"""
 
 
+OP1_SQL = """
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT rid, i, sha256(array_to_string(ws[i:i+34], ' ')) AS h FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+d AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
+e AS (SELECT rid, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM d GROUP BY rid),
+k AS (SELECT doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN e USING (rid))
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256 FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op8_quality": quality.oracle()}
+    return {"op1_substring_dedup": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_quality": quality.oracle()}
