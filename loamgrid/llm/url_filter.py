@@ -17,9 +17,9 @@ an empty rule list gives every row the default; other columns of the input are i
 their names.
 """
 
-import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,7 +127,7 @@ def judge(urls: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     entries = [(r, verdicts.index(v)) for r, v in rules]
     lengths = sorted({len(r) - r.index("/") for r, _ in rules})
     folder = tempfile.mkdtemp(prefix="digests-")
-    name = f"digests-{hashlib.sha256(repr(entries).encode()).hexdigest()[:16]}-{os.getpid()}.bin"
+    name = f"digests-{uuid.uuid4().hex}.bin"  # a job's files can't be replaced under their name
     DigestArray.build(entries, f"{folder}/{name}")
     if os.path.getsize(f"{folder}/{name}") > MAX_FILE_BYTES:
         raise ValueError("the list is too large to ship with the job; split it by host")
