@@ -26,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 
 #: Shares of character classes in ordinary prose, by language: lower-case a-z, upper-case
 #: A-Z, other letters, digits, full stops and commas, other ASCII punctuation and symbols, anything else.
-CLASSES = ("[^a-z]", "[^A-Z]", r"[^\p{L}]|[a-zA-Z]", "[^0-9]", "[^.,]", r"[^!-/:-@\[-`{-~]|[.,]")
+CLASSES = ("[a-z]+", "[A-Z]+", r"\p{L}+", "[0-9]+", "[.,]+", r"[!-/:-@\[-`{-~]+")
 CLASS_SHARES = {
     "en": (0.925, 0.035, 0.001, 0.005, 0.024, 0.008, 0.002),
     "fr": (0.880, 0.033, 0.045, 0.005, 0.025, 0.010, 0.002),
@@ -53,8 +53,7 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text, in order; none of a null text."""
-    trimmed = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACES}", ""), f"{SPACES}$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES, -1))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")
 
 
 def repeated_words(found: Column) -> Column:
@@ -107,17 +106,14 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input with the columns _words .. _word_distance beside its own."""
     t = F.coalesce(F.col(text), F.lit(""))
     solid = F.regexp_replace(t, SPACES, "")
-    joined = F.lower(F.concat(F.lit(" "), F.array_join(words(t), "  "), F.lit(" ")))
+    joined = F.concat(F.lit(" "), F.regexp_replace(F.lower(t), SPACES, "  "), F.lit(" "))
     first = docs.select("*", F.length(solid).cast("long").alias("_word_chars"), let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("_w"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("_n_symbols"), duplicate_lines(t).alias("_n_dup_lines"),
-        F.array(*[F.length(F.regexp_replace(solid, c, "")).cast("double") for c in CLASSES]).alias("_classes"),
+        left_over(solid).alias("_left"),
         let(joined, lambda j: F.array(*[((F.octet_length(j) - F.octet_length(F.replace(j, F.lit(f" {w} "), F.lit("")))) / F.lit(len(w.encode()) + 2)).cast("double") for w in vocabulary()])).alias("_common"))
     n_chars, n_words = F.greatest(F.col("_word_chars"), F.lit(1)).cast("double"), F.greatest(F.col("_w.n"), F.lit(1)).cast("double")
-    shares = [F.col("_classes")[i] / n_chars for i in range(len(CLASSES))]
-    rest = F.col("_word_chars").cast("double")
-    for i in range(len(CLASSES)):
-        rest = rest - F.col("_classes")[i]
-    shares.append(rest / n_chars)
+    left = [F.col("_word_chars").cast("double"), *[F.col("_left")[i] for i in range(len(CLASSES))]]
+    shares = [(a - b) / n_chars for a, b in zip(left, left[1:], strict=False)] + [left[-1] / n_chars]
     at = {w: i for i, w in enumerate(vocabulary())}
     by_class = [js_distance(shares, list(q)) for q in CLASS_SHARES.values()]
     by_word = []
@@ -130,6 +126,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return first.withColumns({"_class_distance": F.least(*by_class), "_word_distance": F.least(*by_word)})
 
 
+def left_over(solid: Column) -> Column:
+    """Characters that are left after each class has been taken out, one after the other."""
+
+    def after(rest: Column, k: int) -> Column:
+        one = F.regexp_replace(rest, CLASSES[k], "")
+        own = lambda x: F.array(F.length(x).cast("double"))
+        return let(one, lambda x: F.concat(own(x), after(x, k + 1))) if k + 1 < len(CLASSES) else let(one, own)
+
+    return after(solid, 0)
+
+
 def vocabulary() -> list[str]:
     return sorted({w for q in WORD_SHARES.values() for w in q})
 
@@ -161,11 +168,16 @@ def oracle() -> str:
     """DuckDB SQL for ``judge`` over ``documents``."""
     spaces = r"[\x20\x09-\x0D]"
     voc = vocabulary()
-    classes = ", ".join(f"length(regexp_replace(solid, '{c}', '', 'g'))::DOUBLE AS k{i}" for i, c in enumerate(CLASSES))
+    classes, rest = [], "solid"
+    for i, c in enumerate(CLASSES):
+        rest = f"regexp_replace({rest}, '{c}', '', 'g')"
+        classes.append(f"length({rest})::DOUBLE AS k{i}")
+    classes = ", ".join(classes)
     common = ", ".join(f"len(list_filter(ws, lambda x: lower(x) = '{w}'))::DOUBLE AS w{i}" for i, w in enumerate(voc))
     js = lambda p, q: "sqrt(greatest((" + " + ".join(f"(CASE WHEN {a} > 0 THEN ({a}) * log2(({a}) / ((({a}) + {b!r}::DOUBLE) / 2)) ELSE 0::DOUBLE END)" + (f" + {b!r}::DOUBLE * log2({b!r}::DOUBLE / ((({a}) + {b!r}::DOUBLE) / 2))" if b > 0 else "") for a, b in zip(p, q, strict=True)) + ") / 2, 0))"
     n_chars, n_words, k = "greatest(word_chars, 1)::DOUBLE", "greatest(n_words, 1)::DOUBLE", len(CLASSES)
-    shares = [f"k{i} / {n_chars}" for i in range(k)] + ["(word_chars - " + " - ".join(f"k{i}" for i in range(k)) + f") / {n_chars}"]
+    left = ["word_chars::DOUBLE", *[f"k{i}" for i in range(k)]]
+    shares = [f"({x} - {y}) / {n_chars}" for x, y in zip(left, left[1:], strict=False)] + [f"{left[-1]} / {n_chars}"]
     by_class = ", ".join(js(shares, q) for q in CLASS_SHARES.values())
     by_word = ", ".join(js([*[f"w{voc.index(w)} / {n_words}" for w in q], "(n_words - " + " - ".join(f"w{voc.index(w)}" for w in q) + f") / {n_words}"], [*q.values(), 1 - sum(q.values())]) for q in WORD_SHARES.values())
     return f"""
