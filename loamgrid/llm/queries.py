@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.llm import html_text, mixing, pieces, quality, substring_dedup, url_filter
+from loamgrid.llm import html_text, mixing, near_dup, pieces, quality, substring_dedup, url_filter
 from loamgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,12 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op5_sentencepiece, op6_url_filter, op7_mixing, op8_quality, op9_html_text)}
+    return {f.__name__: f for f in (op1_substring_dedup, op5_sentencepiece, op6_url_filter, op7_mixing, op8_quality, op9_html_text, op10_near_dup)}
 
 
 OP6_SQL = """
