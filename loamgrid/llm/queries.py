@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.llm import html_text, mixing, near_dup, pieces, quality, substring_dedup, url_filter
+from loamgrid.llm import html_text, line_templates, mixing, near_dup, pieces, quality, substring_dedup, url_filter
 from loamgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.digest(table(spark, sf_dir, "documents"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -45,7 +49,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op5_sentencepiece, op6_url_filter, op7_mixing, op8_quality, op9_html_text, op10_near_dup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_line_templates, op5_sentencepiece, op6_url_filter, op7_mixing, op8_quality, op9_html_text, op10_near_dup)}
 
 
 OP6_SQL = """
@@ -67,4 +71,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha25
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_quality": quality.oracle()}
+    return {"op1_substring_dedup": OP1_SQL, "op3_line_templates": line_templates.oracle(), "op6_url_filter": OP6_SQL, "op8_quality": quality.oracle()}
