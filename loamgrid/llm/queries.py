@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.llm import html_text, line_templates, mixing, near_dup, pieces, quality, substring_dedup, url_filter
+from loamgrid.llm import html_text, line_templates, mixing, near_dup, neighbours, pieces, quality, substring_dedup, url_filter
 from loamgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.digest(table(spark, sf_dir, "embeddings"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -49,7 +53,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_line_templates, op5_sentencepiece, op6_url_filter, op7_mixing, op8_quality, op9_html_text, op10_near_dup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_line_templates, op4_neighbours, op5_sentencepiece, op6_url_filter, op7_mixing, op8_quality, op9_html_text, op10_near_dup)}
 
 
 OP6_SQL = """
