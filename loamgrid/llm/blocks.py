@@ -25,6 +25,7 @@ from loamgrid.llm.shared import store
 BLOCK_BYTES = 4 << 20
 PARTITION_BYTES = 24 << 20
 ROWS = 512
+SUMMARY = -1  #: the block number of what a partition says of itself
 ASK = "block long, p int, data binary"
 
 
@@ -125,14 +126,16 @@ def rows_of(block: int, parts: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def answer(asked: DataFrame, reply: Callable[[int, list[np.ndarray]], list[np.ndarray]], dtype: np.dtype, name: str) -> DataFrame:
-    """(block, p, data): for each partition ``reply(p, arrays of all blocks)``, an array for each block. Written."""
+    """(block, p, data): for each partition ``reply(p, arrays of all blocks)``, an array for each block, and perhaps one more for itself. Written."""
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("block").to_numpy(), kind="stable")
         table = table.take(pa.array(order))
         arrays = [np.frombuffer(x.as_py(), dtype) for x in table.column("data")]
-        out = reply(table.column("p")[0].as_py(), arrays)
-        return pa.table({"block": table.column("block"), "p": table.column("p"), "data": pa.array([x.tobytes() for x in out], pa.binary())})
+        p, numbers = table.column("p")[0].as_py(), table.column("block").to_pylist()
+        out = reply(p, arrays)
+        numbers += [SUMMARY] * (len(out) - len(numbers))
+        return pa.table({"block": pa.array(numbers, pa.int64()), "p": pa.array([p] * len(out), pa.int32()), "data": pa.array([x.tobytes() for x in out], pa.binary())})
 
     return store(asked.groupBy("p").applyInArrow(run, ASK), name)
 
@@ -144,7 +147,8 @@ def meet(blocks: DataFrame, answers: DataFrame, n: int, then: Callable[[int, byt
         got = dict(zip(right.column("p").to_pylist(), right.column("data").to_pylist(), strict=True))
         return then(left.column("block")[0].as_py(), left.column("payload")[0].as_py(), got)
 
-    return blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    own = answers.where(F.col("block") != SUMMARY)
+    return blocks.select("block", "payload").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, schema)
 
 
 def replies(got: dict[int, bytes], found: np.ndarray, n: int, dtype) -> np.ndarray:

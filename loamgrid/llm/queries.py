@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.llm import html_text, line_templates, mixing, near_dup, neighbours, pieces, quality, substring_dedup, url_filter
+from loamgrid.llm import html_text, language_model, line_templates, mixing, near_dup, neighbours, pieces, quality, substring_dedup, url_filter
 from loamgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.digest(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_line_templates, op4_neighbours, op5_sentencepiece, op6_url_filter, op7_mixing, op8_quality, op9_html_text, op10_near_dup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_model, op3_line_templates, op4_neighbours, op5_sentencepiece, op6_url_filter, op7_mixing, op8_quality, op9_html_text, op10_near_dup)}
 
 
 OP6_SQL = """
