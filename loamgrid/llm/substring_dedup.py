@@ -136,19 +136,21 @@ def entries_of(payload: bytes) -> np.ndarray:
     return Block(payload).entries
 
 
-def judge(own: np.ndarray, total: np.ndarray, publisher: np.ndarray) -> np.ndarray:
-    """Flags of ``own`` entries, given the merged run of everything."""
-    at = np.searchsorted(total["v"], own["v"])
-    upto = np.searchsorted(total["v"], own["v"], "right")
-    classes = upto - at
-    count = np.empty(len(own), np.int64)
-    one = classes == 1
-    count[one] = total["n"][at[one]]
-    for k in np.flatnonzero(~one):
-        near = total[at[k] : upto[k]]
-        count[k] = near["n"][np.searchsorted(near["s"], own["s"][k])]
-    flags = np.where(count > 1, WHOLE, np.where(classes > 1, PARTLY, ALONE)).astype(np.uint8)
-    return flags | np.where((count > 1) & (classes > 1) & publisher, PUBLISH, 0).astype(np.uint8)
+def joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The merged run of all arrays, and the places of each array's pairs in it: one sort for all."""
+    x = np.concatenate(arrays)
+    total, place = distinct(x["v"], x["s"], x["n"])
+    return total, np.split(place, np.cumsum([len(a) for a in arrays])[:-1])
+
+
+def judge(total: np.ndarray) -> np.ndarray:
+    """Flags of the entries of a merged run of everything; PUBLISH for all classes whose windows one block must show."""
+    new = np.ones(len(total), bool)
+    new[1:] = total["v"][1:] != total["v"][:-1]
+    group = np.cumsum(new) - 1
+    several = np.bincount(group, minlength=1)[group] > 1
+    whole = total["n"] > 1
+    return np.where(whole, np.where(several, WHOLE | PUBLISH, WHOLE), np.where(several, PARTLY, ALONE)).astype(np.uint8)
 
 
 class FingerprintIndex:
@@ -192,16 +194,16 @@ class FingerprintIndex:
             order = np.argsort(new.column("block").to_numpy(), kind="stable")
             new = new.take(pa.array(order))
             arrays = [np.frombuffer(x.as_py(), ENTRY) for x in new.column("data")]
-            runs = [(b.as_py(), np.frombuffer(x.as_py(), ENTRY)) for b, x in zip(old.column("block"), old.column("data"), strict=True)]
-            past = merge([x for b, x in runs if b != LATER])
-            total = merge([past, *(x for b, x in runs if b == LATER), *arrays])
-            seen = np.isin(pair_ids(total), pair_ids(past)) if len(past) else np.zeros(len(total), bool)
+            runs = [np.frombuffer(x.as_py(), ENTRY) for x in old.column("data")]
+            total, places = joined([*arrays, *runs])
+            flags, seen = judge(total), np.zeros(len(total), bool)
+            for number, at in zip(old.column("block").to_pylist(), places[len(arrays) :], strict=True):
+                if number != LATER:
+                    seen[at] = True
             out = []
-            for own in arrays:  # the first block that has a class publishes its windows
-                at = find(total, own)
-                publisher = ~seen[at]
+            for at in places[: len(arrays)]:  # the first block that has a class publishes its windows
+                out.append(np.where(seen[at], flags[at] & ~np.uint8(PUBLISH), flags[at]).astype(np.uint8).tobytes())
                 seen[at] = True
-                out.append(judge(own, total, publisher).tobytes())
             return pa.table({"block": new.column("block"), "p": new.column("p"), "data": pa.array(out, pa.binary())})
 
         others = self.history()
@@ -210,20 +212,11 @@ class FingerprintIndex:
         return batch.groupBy("p").cogroup(others.groupBy("p")).applyInArrow(run, B.ASK)
 
 
-def pair_ids(x: np.ndarray) -> np.ndarray:
-    return x["v"] ^ (x["s"] * np.uint64(0x9E3779B97F4A7C15))
-
-
-def find(total: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Places of ``own`` pairs in a sorted run that holds them."""
-    _, place = distinct(np.concatenate([total["v"], own["v"]]), np.concatenate([total["s"], own["s"]]), np.zeros(len(total) + len(own), np.uint8))
-    return place[len(total) :]
-
-
 def count_windows(p: int, arrays: list[np.ndarray]) -> list[np.ndarray]:
     """For each block's windows whether they occur twice or more."""
-    total = merge(arrays)
-    return [(total["n"][find(total, own)] > 1).astype(np.uint8) for own in arrays]
+    total, places = joined(arrays)
+    twice = (total["n"] > 1).astype(np.uint8)
+    return [twice[at] for at in places]
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
