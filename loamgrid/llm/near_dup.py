@@ -15,8 +15,9 @@ an empty slot, which changes no result.
 *Candidates.* 25 bands of 4 slots: a pair at the threshold is missed with a probability of 2e-6. Equal
 texts are one node from the start. In a bucket all nodes are compared with a leader, the node with most
 company over all its buckets. Buckets whose nodes are then of more than one component are gone through
-again with 8, 64, 512 ... leaders, until every pair across components was compared or joined: no pair
-inside a component is ever made, and none across is left out.
+once more, every node against every other by inverted lists, and return a forest of links: no pair inside a
+component is made, and none across is left out. A large bucket is dealt in parts, and its pairs of parts
+to tasks, so that a task holds a bounded number of texts.
 
 Defined cases: documents without words (null, empty, white space) are alone in their classes; documents
 of fewer than five words are one shingle of all their words; repeated rows, also of one doc_id, are
@@ -38,6 +39,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 25, 4
 SLOTS = BANDS * BAND_ROWS
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+PHASES = ((0, 5), (5, BANDS))  #: bands whose buckets are gone through together
+MAX_PART = 4000  #: nodes of a bucket's part
 TOGETHER = 256  #: documents signed by one set of array operations
 
 
@@ -163,6 +166,54 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def linked_in_buckets(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between nodes of different roots that share a bucket, enough of them to join what belongs together.
+
+    A bucket is one task, or, if it is large, one for each pair of its parts of ``MAX_PART`` nodes. The task
+    finds a node's common shingles with all others by an inverted list and keeps a forest, so that it
+    returns fewer links than it has nodes, though it compares all of them.
+    """
+    mixed = placed.groupBy("pos", "band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("n").alias("n")).where("x <> y").select("pos", "band", F.ceil(F.col("n") / MAX_PART).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+    dealt = placed.select("pos", "band", "v", "root").join(mixed, ["pos", "band"]).withColumn("s", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = dealt.select("pos", "band", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"), "v", "root").join(texts, "v")
+
+    def run(table: pa.Table) -> pa.Table:
+        v, root = table.column("v").to_numpy(), table.column("root").to_numpy()
+        bags = [shingles(t.as_py()) for t in table.column("text")]
+        _, group = np.unique(root, return_inverse=True)
+        forest = list(range(int(group.max()) + 1))
+
+        def top(i: int) -> int:
+            while forest[i] != i:
+                forest[i] = forest[forest[i]]
+                i = forest[i]
+            return i
+
+        sizes = np.array([len(b[0]) for b in bags])
+        totals = np.array([int(b[1].sum()) for b in bags])
+        hashes, counts = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+        owner = np.repeat(np.arange(len(bags)), sizes)
+        order = np.argsort(hashes, kind="stable")
+        hashes, counts, owner = hashes[order], counts[order], owner[order]
+        found: list[tuple[int, int]] = []
+        for i, (own, n) in enumerate(bags):
+            low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
+            width = high - low
+            at = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
+            common = np.bincount(owner[at], np.minimum(counts[at], np.repeat(n, width)), len(bags))
+            near = np.flatnonzero(common >= THRESHOLD * (totals + totals[i] - common) - 1e-9)
+            for j in near.tolist():
+                x, y = top(int(group[i])), top(int(group[j]))
+                if x != y and similarity(bags[i], bags[j]) >= THRESHOLD:
+                    forest[x] = y
+                    found.append((int(v[i]), int(v[j])))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("pos", "band", "s", "t").applyInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, root) of every node of ``links`` (a, b): the smallest node that can be reached.
 
@@ -200,20 +251,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = members.join(best, ["pos", "band"]).where("a <> v").select("a", F.col("v").alias("b")).distinct()
     tested = store(pairs, "pairs")
     links = store(verified(tested, texts), "links")
-    done, leaders = 1, 8
-    while True:
+    for low, high in PHASES:
         roots = components(links)
-        placed = members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        mixed = placed.groupBy("pos", "band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("n").alias("n")).where(f"x <> y and n > {done + 1}").select("pos", "band")
-        ranked = store(placed.join(mixed, ["pos", "band"]).withColumn("rank", F.row_number().over(Window.partitionBy("pos", "band").orderBy(F.desc("company"), "v"))), "ranked")
-        lead = ranked.where(f"rank > {done} and rank <= {leaders}").select("pos", "band", F.col("v").alias("a"), F.col("root").alias("ra"), F.col("rank").alias("ka"))
-        new = ranked.join(lead, ["pos", "band"]).where("root <> ra and rank > ka").select("a", F.col("v").alias("b")).distinct()
-        new = store(new.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
-        if ranked.isEmpty():
-            break
-        tested = tested.unionByName(new)
-        links = links.unionByName(store(verified(new, texts), "links"))
-        done, leaders = leaders, leaders * 8
+        placed = members.where(f"pos >= {low} and pos < {high} and n > 2").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+        links = links.unionByName(store(linked_in_buckets(placed, texts), "links"))
+    roots = components(links)
     full = nodes.select("h1", "h2", "v", "doc_id").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = full.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rows.drop("bands"), store(full.join(least, "root").select("h1", "h2", "v", "doc_id", "root", "class_id"), "classes")
