@@ -10,7 +10,8 @@ document but the first, the one of the smallest doc_id, so that no content is lo
 
 Lines travel as hashes; text is fetched only for one example of each masked line in leaves that hold
 several lines and enough documents to matter. Counts are aggregated before any shuffle by leaf, so that
-a line found in a third of all documents is one row of each task.
+a line found in a third of all documents is one row of each task. The joins that texts take part in are
+merge joins at every size: what they meet grows with the documents.
 
 Defined cases: null and empty texts have one line without tokens and keep it (a null text stays null);
 lines of fewer than ``MIN_TOKENS`` tokens are kept; rows that repeat both doc_id and text are one
@@ -53,7 +54,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     own = store(alike.join(large, "leaf").select("leaf", "mh", "at.doc_id", "at.h", "at.pos", "kinds", "seed"), "examples")
     mixed = own.where("kinds > 1").select("doc_id", "h", "pos", "leaf", "mh", "seed")
     wanted = mixed.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("pos", "leaf", "mh", "seed")).alias("w"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(wanted, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(wanted.hint("merge"), (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     fetched = texts.select(F.split("text", "\n", -1).alias("ls"), F.explode("w").alias("w")).select("w.leaf", "w.mh", "w.seed", masked(F.get("ls", F.col("w.pos"))).alias("m"))
     examples = store(fetched.groupBy("leaf", "mh", "seed").agg(F.first("m").alias("m")), "texts")
     seeds = examples.where("mh = seed").select("leaf", F.col("m").alias("sm"))
@@ -71,7 +72,7 @@ def cut(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with their _lines, _gone and _kept (text) beside their own columns in _row."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"), F.col("text").alias("_text"))
     gone = dropped_lines(docs.select("doc_id", "text"))
-    both = own.join(gone, (F.col("_h") == F.col("h")) & F.col("_d").eqNullSafe(F.col("doc_id")), "left")
+    both = own.join(gone.hint("merge"), (F.col("_h") == F.col("h")) & F.col("_d").eqNullSafe(F.col("doc_id")), "left")
     ls = F.split("_text", "\n", -1)
     kept = F.array_join(F.filter(ls, lambda x, i: ~F.array_contains("gone", i)), "\n")
     return both.select("_row", F.size(F.split(F.coalesce("_text", F.lit("")), "\n", -1)).cast("long").alias("_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_gone"), F.when(F.col("gone").isNull(), F.col("_text")).otherwise(kept).alias("_kept"))
