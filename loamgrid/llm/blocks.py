@@ -77,6 +77,34 @@ def in_blocks(docs: DataFrame, normalise: Callable[[str | None], bytes], name: s
     return store(docs.select("doc_id", "text").mapInArrow(run, "block long, grp int, n_docs long, n_bytes long, payload binary"), name, "none")
 
 
+def squeeze(x: np.ndarray, steps: bool = False) -> bytes:
+    """An array as compressed bytes, byte after byte of each field. steps: of the first field, which ascends, the differences."""
+    fields = [x[f] for f in x.dtype.names] if x.dtype.names else [x]
+    if steps and len(x):
+        fields[0] = np.concatenate([fields[0][:1], np.diff(fields[0])])
+    raw = b"".join(np.ascontiguousarray(f).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"" for f in fields)
+    return len(x).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(data: bytes, dtype: np.dtype, steps: bool = False) -> np.ndarray:
+    n, dtype = int.from_bytes(data[:4], "little"), np.dtype(dtype)
+    if not n:
+        return np.zeros(0, dtype)
+    raw = np.frombuffer(pa.decompress(data[4:], n * dtype.itemsize, codec="zstd", asbytes=True), np.uint8)
+    out, at = np.zeros(n, dtype), 0
+    for name in dtype.names or [None]:
+        kind = dtype[name] if name else dtype
+        field = np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel()
+        at += n * kind.itemsize
+        if steps and at == n * kind.itemsize:
+            field = np.cumsum(field, dtype=kind)
+        if name:
+            out[name] = field
+        else:
+            out = field
+    return out
+
+
 def documents(payload: bytes) -> tuple[list, list[bytes]]:
     table = unpack(payload)
     return table.column("doc_id").to_pylist(), table.column("text").to_pylist()
@@ -88,8 +116,8 @@ def partitions(blocks: DataFrame) -> int:
     return max(8, -(-total // PARTITION_BYTES))
 
 
-def ask(blocks: DataFrame, keys: Callable[[bytes], np.ndarray], n: int, name: str) -> DataFrame:
-    """(block, p, data): what ``keys`` makes of a block, dealt by the first field modulo n. Written, as it is read twice.
+def ask(blocks: DataFrame, keys: Callable[[bytes], np.ndarray], n: int, name: str | None = None) -> DataFrame:
+    """(block, p, data): what ``keys`` makes of a block, dealt by the first field modulo n. Written under a name if it is read more than once.
 
     keys: gives a structured array, sorted by its first field, a uint64.
     """
@@ -101,7 +129,8 @@ def ask(blocks: DataFrame, keys: Callable[[bytes], np.ndarray], n: int, name: st
                 if len(found):
                     yield rows_of(block, deal(found, n))
 
-    return store(blocks.select("block", "payload").mapInArrow(run, ASK), name, "none")
+    asked = blocks.select("block", "payload").mapInArrow(run, ASK)
+    return store(asked, name, "none") if name else asked
 
 
 def deal(found: np.ndarray, n: int) -> list[np.ndarray]:
@@ -121,7 +150,7 @@ def gather(parts: list[np.ndarray], found: np.ndarray, n: int) -> np.ndarray:
 
 
 def rows_of(block: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-    full = [(p, x.tobytes()) for p, x in enumerate(parts) if len(x)]
+    full = [(p, squeeze(x, True)) for p, x in enumerate(parts) if len(x)]
     return pa.RecordBatch.from_arrays([pa.array([block] * len(full), pa.int64()), pa.array([p for p, _ in full], pa.int32()), pa.array([d for _, d in full], pa.binary())], ["block", "p", "data"])
 
 
@@ -131,13 +160,13 @@ def answer(asked: DataFrame, reply: Callable[[int, list[np.ndarray]], list[np.nd
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("block").to_numpy(), kind="stable")
         table = table.take(pa.array(order))
-        arrays = [np.frombuffer(x.as_py(), dtype) for x in table.column("data")]
+        arrays = [expand(x.as_py(), dtype, True) for x in table.column("data")]
         p, numbers = table.column("p")[0].as_py(), table.column("block").to_pylist()
         out = reply(p, arrays)
         numbers += [SUMMARY] * (len(out) - len(numbers))
-        return pa.table({"block": pa.array(numbers, pa.int64()), "p": pa.array([p] * len(out), pa.int32()), "data": pa.array([x.tobytes() for x in out], pa.binary())})
+        return pa.table({"block": pa.array(numbers, pa.int64()), "p": pa.array([p] * len(out), pa.int32()), "data": pa.array([squeeze(x) for x in out], pa.binary())})
 
-    return store(asked.groupBy("p").applyInArrow(run, ASK), name)
+    return store(asked.groupBy("p").applyInArrow(run, ASK), name, "none")
 
 
 def meet(blocks: DataFrame, answers: DataFrame, n: int, then: Callable[[int, bytes, dict[int, bytes]], Iterator[pa.RecordBatch] | pa.Table], schema: str) -> DataFrame:
@@ -154,4 +183,4 @@ def meet(blocks: DataFrame, answers: DataFrame, n: int, then: Callable[[int, byt
 def replies(got: dict[int, bytes], found: np.ndarray, n: int, dtype) -> np.ndarray:
     """A block's answers in the order of the keys it asked for."""
     parts = deal(found, n)
-    return gather([np.frombuffer(got.get(p, b""), dtype) for p in range(len(parts))], found, n)
+    return gather([expand(got[p], dtype) if p in got else np.zeros(0, dtype) for p in range(len(parts))], found, n)

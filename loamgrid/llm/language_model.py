@@ -131,7 +131,7 @@ def vocabulary(answers: DataFrame) -> Vocabulary:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([np.frombuffer(d.as_py(), np.int64) for d in batch.column(0)]).reshape(-1, 4)
+            x = np.array([B.expand(d.as_py(), np.int64) for d in batch.column(0)]).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)], list("abcd"))
 
     sums = answers.where(F.col("block") == B.SUMMARY).select("data").mapInArrow(run, "a long, b long, c long, d long")
@@ -173,7 +173,7 @@ def scores(docs: DataFrame) -> DataFrame:
     """The scores of every document of ``docs`` (doc_id, text)."""
     blocks = B.in_blocks(docs, lowered, "blocks", part_of)
     n = B.partitions(blocks)
-    asked = B.ask(blocks, asked_of, n, "asked")
+    asked = B.ask(blocks, asked_of, n)
     answers = B.answer(asked, add_up, ASKED, "counts")
     size = vocabulary(answers)
 

@@ -178,7 +178,7 @@ class FingerprintIndex:
         """All runs become one sorted array for each partition."""
 
         def run(table: pa.Table) -> pa.Table:
-            data = merge([np.frombuffer(x.as_py(), ENTRY) for x in table.column("data")]).tobytes()
+            data = B.squeeze(merge([B.expand(x.as_py(), ENTRY, True) for x in table.column("data")]), True)
             return pa.table({"block": pa.array([-1], pa.int64()), "p": table.column("p").slice(0, 1), "data": pa.array([data], pa.binary())})
 
         self.runs = [store(self.history().groupBy("p").applyInArrow(run, B.ASK), "run", "none")]
@@ -193,8 +193,8 @@ class FingerprintIndex:
         def run(new: pa.Table, old: pa.Table) -> pa.Table:
             order = np.argsort(new.column("block").to_numpy(), kind="stable")
             new = new.take(pa.array(order))
-            arrays = [np.frombuffer(x.as_py(), ENTRY) for x in new.column("data")]
-            runs = [np.frombuffer(x.as_py(), ENTRY) for x in old.column("data")]
+            arrays = [B.expand(x.as_py(), ENTRY, True) for x in new.column("data")]
+            runs = [B.expand(x.as_py(), ENTRY, True) for x in old.column("data")]
             total, places = joined([*arrays, *runs])
             flags, seen = judge(total), np.zeros(len(total), bool)
             for number, at in zip(old.column("block").to_pylist(), places[len(arrays) :], strict=True):
@@ -202,7 +202,7 @@ class FingerprintIndex:
                     seen[at] = True
             out = []
             for at in places[: len(arrays)]:  # the first block that has a class publishes its windows
-                out.append(np.where(seen[at], flags[at] & ~np.uint8(PUBLISH), flags[at]).astype(np.uint8).tobytes())
+                out.append(B.squeeze(np.where(seen[at], flags[at] & ~np.uint8(PUBLISH), flags[at]).astype(np.uint8)))
                 seen[at] = True
             return pa.table({"block": new.column("block"), "p": new.column("p"), "data": pa.array(out, pa.binary())})
 
@@ -241,7 +241,7 @@ def dedup(docs: DataFrame, batches: int = 2, texts: bool = False) -> DataFrame:
     flags = found[0]
     for f in found[1:]:
         flags = flags.unionByName(f)
-    flags = store(flags, "flags")
+    flags = store(flags, "flags", "none")
 
     def windows(block: int, payload: bytes, got: dict[int, bytes]) -> pa.Table:
         own = Block(payload)
