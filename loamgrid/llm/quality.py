@@ -93,12 +93,15 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def js_distance(p: list[Column], q: list[float]) -> Column:
-    """Jensen-Shannon distance of a document's shares from a reference, base 2."""
-    total = F.lit(0.0)
-    for a, b in zip(p, q, strict=True):
-        m = (a + F.lit(b)) / F.lit(2.0)
-        total = total + F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0)) + (F.lit(b) * F.log2(F.lit(b) / m) if b > 0 else F.lit(0.0))
+def js_distance(p: Column, q: list[float]) -> Column:
+    """Jensen-Shannon distance of a document's shares (an array) from a reference, base 2."""
+
+    def term(a: Column, b: Column) -> Column:
+        m = (a + b) / F.lit(2.0)
+        own = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+        return own(a) + own(b)
+
+    total = F.aggregate(F.zip_with(p, F.array(*map(F.lit, q)), term), F.lit(0.0), lambda t, x: t + x)
     return F.sqrt(F.greatest(total / F.lit(2.0), F.lit(0.0)))
 
 
@@ -107,23 +110,23 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     solid = F.regexp_replace(t, SPACES, "")
     joined = F.concat(F.lit(" "), F.regexp_replace(F.lower(t), SPACES, "  "), F.lit(" "))
+    voc = F.array(*map(F.lit, vocabulary()))
+    count = lambda j: F.transform(voc, lambda w: ((F.octet_length(j) - F.octet_length(F.replace(j, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("double"))
     first = docs.select("*", F.length(solid).cast("long").alias("_word_chars"), let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("_w"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("_n_symbols"), duplicate_lines(t).alias("_n_dup_lines"),
-        left_over(solid).alias("_left"),
-        let(joined, lambda j: F.array(*[((F.octet_length(j) - F.octet_length(F.replace(j, F.lit(f" {w} "), F.lit("")))) / F.lit(len(w.encode()) + 2)).cast("double") for w in vocabulary()])).alias("_common"))
+        left_over(solid).alias("_left"), let(joined, count).alias("_common"))
     n_chars, n_words = F.greatest(F.col("_word_chars"), F.lit(1)).cast("double"), F.greatest(F.col("_w.n"), F.lit(1)).cast("double")
-    left = [F.col("_word_chars").cast("double"), *[F.col("_left")[i] for i in range(len(CLASSES))]]
-    shares = [(a - b) / n_chars for a, b in zip(left, left[1:], strict=False)] + [left[-1] / n_chars]
-    at = {w: i for i, w in enumerate(vocabulary())}
-    by_class = [js_distance(shares, list(q)) for q in CLASS_SHARES.values()]
-    by_word = []
-    for q in WORD_SHARES.values():
-        own = [F.col("_common")[at[w]] for w in q]
-        others = n_words
-        for c in own:
-            others = others - c
-        by_word.append(js_distance([*[c / n_words for c in own], others / n_words], [*q.values(), 1 - sum(q.values())]))
-    return first.withColumns({"_class_distance": F.least(*by_class), "_word_distance": F.least(*by_word)})
+    left = F.concat(F.array(F.col("_word_chars").cast("double")), F.col("_left"), F.array(F.lit(0.0)))
+    shares = let(left, lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: (F.element_at(x, i) - F.element_at(x, i + 1)) / n_chars))
+    by_class = let(shares, lambda p: F.least(*[js_distance(p, list(q)) for q in CLASS_SHARES.values()]))
+    at = {w: i + 1 for i, w in enumerate(vocabulary())}
+
+    def word_distance(q: dict[str, float]) -> Column:
+        own = F.transform(F.array(*[F.lit(at[w]) for w in q]), lambda i: F.element_at("_common", i) / n_words)
+        rest = lambda p: F.concat(p, F.array(F.aggregate(p, F.lit(1.0), lambda t, x: t - x)))
+        return let(let(own, rest), lambda p: js_distance(p, [*q.values(), 1 - sum(q.values())]))
+
+    return first.withColumns({"_class_distance": by_class, "_word_distance": F.least(*map(word_distance, WORD_SHARES.values()))})
 
 
 def left_over(solid: Column) -> Column:

@@ -8,7 +8,7 @@ a laptop) is a local folder made and set.
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,6 +39,13 @@ def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_and_sum(df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, dict]:
+    """``store``, with aggregates over all rows from the same pass."""
+    seen = Observation()
+    found = store(df.observe(seen, *sums), name)
+    return found, seen.get
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path through Hadoop's file system, so that it works on any store."""
     jvm = spark.sparkContext._jvm
