@@ -105,28 +105,47 @@ def js_distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(total / F.lit(2.0), F.lit(0.0)))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input with the columns _words .. _word_distance beside its own."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    solid = F.regexp_replace(t, SPACES, "")
-    joined = F.concat(F.lit(" "), F.regexp_replace(F.lower(t), SPACES, "  "), F.lit(" "))
+def measures(text: Column) -> Column:
+    """Counts, distances and verdicts of a text, as one struct.
+
+    It is one expression in which every step is bound: no rule of the optimiser can write a step out
+    twice, also where a filter on a verdict is pushed below the projection.
+    """
     voc = F.array(*map(F.lit, vocabulary()))
-    count = lambda j: F.transform(voc, lambda w: ((F.octet_length(j) - F.octet_length(F.replace(j, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("double"))
-    first = docs.select("*", F.length(solid).cast("long").alias("_word_chars"), let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("_w"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("_n_symbols"), duplicate_lines(t).alias("_n_dup_lines"),
-        left_over(solid).alias("_left"), let(joined, count).alias("_common"))
-    n_chars, n_words = F.greatest(F.col("_word_chars"), F.lit(1)).cast("double"), F.greatest(F.col("_w.n"), F.lit(1)).cast("double")
-    left = F.concat(F.array(F.col("_word_chars").cast("double")), F.col("_left"), F.array(F.lit(0.0)))
-    shares = let(left, lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: (F.element_at(x, i) - F.element_at(x, i + 1)) / n_chars))
-    by_class = let(shares, lambda p: F.least(*[js_distance(p, list(q)) for q in CLASS_SHARES.values()]))
     at = {w: i + 1 for i, w in enumerate(vocabulary())}
 
-    def word_distance(q: dict[str, float]) -> Column:
-        own = F.transform(F.array(*[F.lit(at[w]) for w in q]), lambda i: F.element_at("_common", i) / n_words)
-        rest = lambda p: F.concat(p, F.array(F.aggregate(p, F.lit(1.0), lambda t, x: t - x)))
-        return let(let(own, rest), lambda p: js_distance(p, [*q.values(), 1 - sum(q.values())]))
+    def raw(t: Column) -> Column:
+        joined = F.concat(F.lit(" "), F.regexp_replace(F.lower(t), SPACES, "  "), F.lit(" "))
+        symbols = (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long")
+        return F.struct(words(t).alias("words"), F.regexp_replace(t, SPACES, "").alias("solid"), joined.alias("joined"), symbols.alias("symbols"), duplicate_lines(t).alias("lines"))
+
+    def counted(s: Column) -> Column:
+        occurrences = F.transform(voc, lambda w: ((F.octet_length(s["joined"]) - F.octet_length(F.replace(s["joined"], F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("double"))
+        return F.struct(F.size(s["words"]).cast("long").alias("n_words"), F.length(s["solid"]).cast("long").alias("word_chars"), s["symbols"].alias("n_symbols"), s["lines"].alias("n_dup_lines"), repeated_words(s["words"]).alias("n_repeat_words"), left_over(s["solid"]).alias("left"), occurrences.alias("common"))
+
+    def judged(m: Column) -> Column:
+        n_chars, n_words = F.greatest(m["word_chars"], F.lit(1)).cast("double"), F.greatest(m["n_words"], F.lit(1)).cast("double")
+        left = F.concat(F.array(m["word_chars"].cast("double")), m["left"], F.array(F.lit(0.0)))
+        shares = let(left, lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: (F.element_at(x, i) - F.element_at(x, i + 1)) / n_chars))
+        by_class = let(shares, lambda p: F.least(*[js_distance(p, list(q)) for q in CLASS_SHARES.values()]))
+
+        def word_distance(q: dict[str, float]) -> Column:
+            own = F.array(*[F.element_at(m["common"], F.lit(at[w])) / n_words for w in q])
+            rest = lambda p: F.concat(p, F.array(F.aggregate(p, F.lit(1.0), lambda t, x: t - x)))
+            return let(let(own, rest), lambda p: js_distance(p, [*q.values(), 1 - sum(q.values())]))
+
+        by_word = F.least(*map(word_distance, WORD_SHARES.values()))
+        return let(F.struct(by_class.alias("c"), by_word.alias("w")), lambda d: verdicts(m, d))
 
-    return first.withColumns({"_class_distance": by_class, "_word_distance": F.least(*map(word_distance, WORD_SHARES.values()))})
+    return let(F.coalesce(text, F.lit("")), lambda t: let(let(raw(t), counted), judged))
+
+
+def verdicts(m: Column, d: Column) -> Column:
+    n, r = m["n_words"], m["n_repeat_words"]
+    failed = (n < MIN_WORDS) | (100 * r > MAX_REPEATED_PERCENT * n)
+    odd = ((m["word_chars"] >= CLASS_GUARD_CHARS) & (d["c"] > MAX_CLASS_DISTANCE)) | ((n >= WORD_GUARD_WORDS) & (d["w"] > MAX_WORD_DISTANCE))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return F.struct(*[m[k].alias(k) for k in names], failed.alias("base_failed"), (~failed & ~odd).alias("kept"), d["c"].alias("class_distance"), d["w"].alias("word_distance"))
 
 
 def left_over(solid: Column) -> Column:
@@ -144,27 +163,16 @@ def vocabulary() -> list[str]:
     return sorted({w for q in WORD_SHARES.values() for w in q})
 
 
-def verdict() -> tuple[Column, Column]:
-    """(base_failed, kept) over the columns of ``measure``."""
-    n, r = F.col("_w.n"), F.col("_w.r")
-    failed = (n < MIN_WORDS) | (100 * r > MAX_REPEATED_PERCENT * n)
-    odd = ((F.col("_word_chars") >= CLASS_GUARD_CHARS) & (F.col("_class_distance") > MAX_CLASS_DISTANCE)) | ((n >= WORD_GUARD_WORDS) & (F.col("_word_distance") > MAX_WORD_DISTANCE))
-    return failed, ~failed & ~odd
-
-
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, the verdicts and the two distances of every document."""
-    failed, kept = verdict()
-    return measure(docs.select("doc_id", "text")).select(
-        "doc_id", F.col("_w.n").alias("n_words"), F.col("_word_chars").alias("word_chars"), F.col("_n_symbols").alias("n_symbols"), F.col("_n_dup_lines").alias("n_dup_lines"), F.col("_w.r").alias("n_repeat_words"), failed.alias("base_failed"), kept.alias("kept"),
-    )
+    """doc_id, the counts and the verdicts of every document."""
+    found = docs.select("doc_id", measures(F.col("text")).alias("m"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", *[F.col(f"m.{k}").alias(k) for k in names])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns they came with."""
-    _, kept = verdict()
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    return measure(own, "_text").where(kept).select("_row.*")
+    return docs.where(measures(F.col("text"))["kept"])
 
 
 def oracle() -> str:
