@@ -54,7 +54,7 @@ def bbox_of(values: list[bytes | None]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["xmin", "ymin", "xmax", "ymax"])
 
 
-@F.pandas_udf("xmin double, ymin double, xmax double, ymax double")
+@F.pandas_udf(BBOX)
 def _bbox(s: pd.Series) -> pd.DataFrame:
     return bbox_of(list(s))
 
@@ -65,7 +65,7 @@ def st_bbox(wkb: Column) -> Column:
     return F.when(~F.isnan(F.coalesce(box["xmin"], F.lit(float("nan")))), box)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _point(x: pd.Series, y: pd.Series) -> pd.Series:
     raw = np.empty((len(x), 21), np.uint8)
     raw[:, :5] = POINT_HEAD
@@ -78,12 +78,12 @@ def st_point(x: Column, y: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), _point(x, y))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _line(s: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else G.to_wkb(G.Geometry(G.LINESTRING, G.array([(p["x"], p["y"]) for p in v]))) for v in s], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _polygon(s: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else G.to_wkb(G.Geometry(G.POLYGON, [G.array([(p["x"], p["y"]) for p in r]) for r in v])) for v in s], dtype=object)
 
@@ -108,7 +108,7 @@ _normal = _of_geometry(G.to_wkb, T.BinaryType())
 _points = _of_geometry(lambda g: [{"x": x, "y": y} for x, y in G.coordinates(g).tolist()], POINTS)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _from_geojson(s: pd.Series) -> pd.Series:
     def one(v):
         g = G.from_geojson(v) if v is not None else None
@@ -175,7 +175,7 @@ def st_transform(wkb: Column, source: int, target: int) -> Column:
             return out
         return _each(s, lambda b: G.to_wkb(G.with_coordinates(G.from_wkb(b), lambda p: transform_array(p, source, target))))
 
-    return F.pandas_udf(run, "binary")(wkb)
+    return F.pandas_udf(run, T.BinaryType())(wkb)
 
 
 def st_simplify(wkb: Column, tolerance: float | Column) -> Column:
@@ -184,7 +184,7 @@ def st_simplify(wkb: Column, tolerance: float | Column) -> Column:
     def run(s: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else G.to_wkb(G.simplify(G.from_wkb(bytes(v)), float(x))) for v, x in zip(s, t, strict=True)], dtype=object)
 
-    return F.pandas_udf(run, "binary")(wkb, t)
+    return F.pandas_udf(run, T.BinaryType())(wkb, t)
 
 
 def st_contains_point(wkb: Column, x: Column, y: Column) -> Column:
@@ -208,4 +208,4 @@ def st_contains_point(wkb: Column, x: Column, y: Column) -> Column:
             out.append(inside)
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, "boolean")(wkb, x, y)
+    return F.pandas_udf(run, T.BooleanType())(wkb, x, y)

@@ -252,6 +252,7 @@ class _Reader(DataSourceReader):
 
 
 def read(spark: SparkSession, path: str, decompressed: bool = True) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PmTilesSource)
     return spark.read.format("loamgrid_pmtiles").option("path", path).option("decompress", str(decompressed).lower()).load()
 
