@@ -90,6 +90,8 @@ class Plan:
             left = []
             for k in order:  # whole blocks as they fit, then a part of the first that did not
                 b, words = x[k]
+                if not words:
+                    continue
                 if words <= rest:
                     mine.append((b, whole))
                     rest -= words
