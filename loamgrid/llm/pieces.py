@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-MAX_CACHED = 400_000  #: chunks in a worker's cache, some 100 MB
+MAX_CACHED = 120_000  #: chunks in a worker's cache, some 30 MB
 
 
 class Encoded(NamedTuple):
