@@ -15,7 +15,7 @@ import re
 from typing import Any, NamedTuple
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.core.errors import CrsError
@@ -259,6 +259,21 @@ def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, C
     return moved["x"], moved["y"]
 
 
+def transform_columns(df: DataFrame, x: str, y: str, source: int, target: int) -> DataFrame:
+    """The frame with two of its columns moved to another system.
+
+    Longitude and latitude are columns of a projection of their own between the legs: both legs run in
+    generated code, and neither is written out twice.
+    """
+    a, b = projection(source), projection(target)
+    if is_identity(source, target):
+        return df
+    lng, lat = _leg(a, False, F.col(x), F.col(y), _Columns)
+    between = df.withColumns({x: lng, y: lat})
+    e, n = _leg(b, True, F.col(x), F.col(y), _Columns)
+    return between.withColumns({x: e, y: n})
+
+
 def transform_array(xy: np.ndarray, source: int, target: int) -> np.ndarray:
     """(n, 2) coordinates from one system to another."""
     a, b = projection(source), projection(target)

@@ -1,4 +1,4 @@
-"""Vector tiles: features by tile, encoded by an Arrow function for each tile.
+"""Vector tiles: features by tile, encoded by an Arrow function.
 
 Geometry is longitude and latitude. Coordinates are placed in the tile as they are: no clipping, no buffer,
 no change of ring orientation. Features without geometry, or without coordinates, are left out;
@@ -8,7 +8,7 @@ collections are refused. Keys and values are interned over the layer, in the ord
 import gzip
 import math
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 from typing import Any
 
@@ -249,7 +249,8 @@ def to_tiles(df: DataFrame, z: int, box: Column | None = None, geometry: str = "
 def encode(df: DataFrame, layer: str, geometry: str = "geometry", fid: str | None = "fid", extent: int = EXTENT, gzip_level: int | None = None) -> DataFrame:
     """(z, x, y, data, n_features) of rows with z, x, y: a tile with one layer for each place.
 
-    A tile's features meet in one task, as they are one message; rows carry WKB and attributes only.
+    Rows are dealt and sorted by tile, and a task encodes one tile after the other: what it holds is one
+    tile's message. A tile's features meet in one task, as they are one message.
     """
     attributes = [f for f in df.schema if f.name not in (geometry, fid, "z", "x", "y", "xmin", "ymin", "xmax", "ymax") and not isinstance(f.dataType, T.BinaryType)]
     single = frozenset(f.name for f in attributes if isinstance(f.dataType, T.FloatType))
@@ -257,19 +258,35 @@ def encode(df: DataFrame, layer: str, geometry: str = "geometry", fid: str | Non
     has_id = fid is not None and fid in df.columns
     keep = df.select("z", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(geometry).alias("_g"), *([F.col(fid).cast("long").alias("_id")] if has_id else []), *[F.col(f"`{n}`") for n in names])
 
-    def run(table: pa.Table) -> pa.Table:
-        z, x, y = (table.column(k)[0].as_py() for k in ("z", "x", "y"))
-        out = Layer(layer, z, x, y, extent, single)
-        ids = table.column("_id").to_pylist() if has_id else [None] * table.num_rows
-        rows = zip(*(table.column(n).to_pylist() for n in names), strict=True) if names else [()] * table.num_rows
-        for g, i, values in zip(table.column("_g").to_pylist(), ids, rows, strict=True):
-            out.add(None if g is None else G.from_wkb(g), zip(names, values, strict=True), i)
-        data = tile_bytes([out.finish()])
-        data = data if gzip_level is None else compressed(data, gzip_level)
-        kind = {"z": pa.int32(), "x": pa.int64(), "y": pa.int64(), "data": pa.binary(), "n_features": pa.int64()}
-        return pa.table({k: pa.array([v], kind[k]) for k, v in zip(kind, (z, x, y, data, len(out.features)), strict=True)})
-
-    return keep.withColumn("z", F.col("z").cast("int")).groupBy("z", "x", "y").applyInArrow(run, "z int, x long, y long, data binary, n_features long")
+    kind = {"z": pa.int32(), "x": pa.int64(), "y": pa.int64(), "data": pa.binary(), "n_features": pa.int64()}
+
+    def finished(done: list[Layer]) -> pa.RecordBatch:
+        rows = []
+        for one in done:
+            data = tile_bytes([one.finish()])
+            rows.append((*one.tile, data if gzip_level is None else compressed(data, gzip_level), len(one.features)))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kind.values(), strict=True)], list(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, done = None, []
+        for batch in batches:
+            columns = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in batch.schema.names}
+            ids = columns["_id"] if has_id else [None] * batch.num_rows
+            rows = zip(*(columns[n] for n in names), strict=True) if names else [()] * batch.num_rows
+            for z, x, y, g, i, values in zip(columns["z"], columns["x"], columns["y"], columns["_g"], ids, rows, strict=True):
+                if out is None or out.tile != (z, x, y):
+                    if out is not None:
+                        done.append(out)
+                    out = Layer(layer, z, x, y, extent, single)
+                out.add(None if g is None else G.from_wkb(g), zip(names, values, strict=True), i)
+                if len(done) >= 1000:
+                    yield finished(done)
+                    done = []
+        if out is not None:
+            yield finished([*done, out])
+
+    placed = keep.withColumn("z", F.col("z").cast("int")).repartition("z", "x", "y").sortWithinPartitions("z", "x", "y")
+    return placed.mapInArrow(run, "z int, x long, y long, data binary, n_features long")
 
 
 def merge_layers(frames: list[DataFrame]) -> DataFrame:

@@ -73,8 +73,8 @@ MGA = _tm_inverse_sql(C.projection(7855), "x", "y", f"(SELECT k, 5e5 + lng*1e3 A
 
 @query(f"SELECT k, {sq('e')} AS e_cm, {sq('n')} AS n_cm FROM {_tm_forward_sql(C.projection(32755), 'lng', 'lat', MGA, 'k')}")
 def crs7_mga55_to_utm55(spark: S, sf: str) -> DataFrame:
-    e, n = C.transform(500000.0 + F.col("lng") * 1e3, 5e6 + F.col("lat") * 1e4, 7855, 32755)
-    return points(spark, sf).select("k", q(e).alias("e_cm"), q(n).alias("n_cm"))
+    grid = points(spark, sf).select("k", (500000.0 + F.col("lng") * 1e3).alias("x"), (5e6 + F.col("lat") * 1e4).alias("y"))
+    return C.transform_columns(grid, "x", "y", 7855, 32755).select("k", q(F.col("x")).alias("e_cm"), q(F.col("y")).alias("n_cm"))
 
 
 @query(f"SELECT k, CAST(lng * 1e3 AS BIGINT) AS x, CAST(lat * 1e3 AS BIGINT) AS y FROM {PTS}")
