@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loamgrid.llm.shared import store
 
 BLOCK_BYTES = 4 << 20
-PARTITION_BYTES = 24 << 20
+PARTITION_BYTES = 16 << 20
 ROWS = 512
 SUMMARY = -1  #: the block number of what a partition says of itself
 ASK = "block long, p int, data binary"
