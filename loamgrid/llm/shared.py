@@ -5,6 +5,8 @@ cluster shares between the driver and the executors. Only where a session names
 a laptop) is a local folder made and set.
 """
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="loamgrid-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
