@@ -4,7 +4,9 @@ Paths may be in any store that Hadoop knows. Executors read through ``read_bytes
 others through the file systems that pyarrow knows. The driver can read through Spark itself.
 """
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -87,7 +89,10 @@ def list_files(path: str, suffix: str) -> list[str]:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the folder that the cluster shares; a local one where there is none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loamgrid-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="loamgrid-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/loamgrid/{uuid.uuid4().hex}/{name}"
 
 
