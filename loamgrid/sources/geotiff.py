@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from typing import Any, NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -382,11 +383,14 @@ def write(tiles: DataFrame, path: str, sizes: dict[int, tuple[int, int]] | None
         raise Unsupported("a raster is one file on a local or mounted path")
     spark = tiles.sparkSession
 
-    def encode(kinds, datas, width, height):
+    def one(kinds: Any, datas: Any, width: int, height: int) -> bytes:
         planes = [np.frombuffer(bytes(d), np.dtype(DTYPES[k]).newbyteorder("<")).reshape(height, width) for k, d in zip(kinds, datas, strict=True)]
         return compress(np.ascontiguousarray(np.stack(planes, axis=-1)).tobytes(), codec, level)
 
-    packed = F.udf(encode, "binary")
+    def encode(kinds: pd.Series, datas: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        return pd.Series([one(*row) for row in zip(kinds, datas, width, height, strict=True)], dtype=object)
+
+    packed = F.pandas_udf(encode, T.BinaryType())
     own = tiles.select("level", "x", "y", "width", "height", "affine", F.transform("bands", lambda b: b["dtype"]).alias("kinds"), F.get("bands", F.lit(0))["nodata"].alias("nodata"), packed(F.transform("bands", lambda b: b["dtype"]), F.transform("bands", lambda b: b["data"]), "width", "height").alias("data"), *(["epsg"] if "epsg" in tiles.columns else []))
     where = scratch(spark, "tiff")
     own.dropDuplicates(["level", "x", "y"]).write.parquet(where)

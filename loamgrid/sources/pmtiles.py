@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -289,7 +290,10 @@ def write(tiles: DataFrame, path: str, order: str | None = None, tile_compressio
         raise Unsupported("an archive is one file on a local or mounted path")
     spark = tiles.sparkSession
     if not compressed and tile_compression != "none":
-        squeeze = F.udf(lambda d: compress(bytes(d), tile_compression), "binary")
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(lambda d: compress(bytes(d), tile_compression), na_action="ignore")
+
+        squeeze = F.pandas_udf(run, T.BinaryType())
         packed = tiles.withColumn("data", squeeze("data"))
     else:
         packed = tiles
