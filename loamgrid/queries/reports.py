@@ -10,7 +10,9 @@ from loamgrid.functions import affine as A
 from loamgrid.functions import geometry as G
 from loamgrid.functions import index as I
 from loamgrid.functions import measure as M
+from loamgrid.functions import schema as X
 from loamgrid.functions import tiles as T
+from loamgrid.functions import values as V
 from loamgrid.operators import profile as P
 from loamgrid.operators import raster as R
 from loamgrid.operators import spatial_join as J
@@ -326,3 +328,32 @@ def ext_anti_join(spark: S, sf: str) -> DataFrame:
 def ext_top_per_group(spark: S, sf: str) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     return table(spark, sf, "orders").withColumn("r", r).where("r <= 3").select(F.col("o_custkey").alias("k"), "o_orderkey", "r")
+
+
+# --- schema
+
+
+@query("SELECT c_custkey AS k, c_name AS third, 'string' AS tag, c_acctbal < 0 AS negative FROM customer")
+def prj5_attributes(spark: S, sf: str) -> DataFrame:
+    """Cells by place and by name, and their types."""
+    c = table(spark, sf, "customer")
+    by_name = F.col(X.field_by_name(c.schema, "c_acctbal").name)
+    return c.select(X.attribute(c, 0).alias("k"), X.attribute(c, X.field_index(c.schema, "c_name")).alias("third"), X.type_tag(F.col("c_name")).alias("tag"), (by_name < 0).alias("negative"))
+
+
+@query("SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS whole, CAST(o_orderkey % 2 = 0 AS VARCHAR) AS flag, lower(hex(o_orderpriority)) AS raw FROM orders")
+def prj8_report_values(spark: S, sf: str) -> DataFrame:
+    """Values as a report shows them."""
+    from pyspark.sql import types as ST
+
+    o = table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("k"), V.report_json(F.col("o_custkey"), ST.LongType()).alias("whole"), V.report_json(F.col("o_orderkey") % 2 == 0, ST.BooleanType()).alias("flag"), V.report_json(F.col("o_orderpriority").cast("binary"), ST.BinaryType()).alias("raw"))
+
+
+@query("SELECT n_nationkey AS k, 4 AS a, 6 AS b, n_nationkey % 2 = 0 AS good FROM nation")
+def ras2_pixel_counts(spark: S, sf: str) -> DataFrame:
+    """Pixels of a band, bytes of a tile, and whether a tile is whole."""
+    data = F.lit(bytes(8))
+    n = table(spark, sf, "nation")
+    bands = F.array(F.struct(F.lit("U16").alias("dtype"), F.when(F.col("n_nationkey") % 2 == 0, data).otherwise(F.lit(bytes(7))).alias("data")))
+    return n.select(F.col("n_nationkey").alias("k"), A.pixel_count(data, F.lit("U16")).cast("int").alias("a"), A.tile_bytes(F.lit(2), F.lit(1), F.array(F.lit("U8"), F.lit("I16"))).alias("b"), A.well_formed(F.lit(2), F.lit(2), bands).alias("good"))
