@@ -43,7 +43,7 @@ WORD_SHARES = {
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: The largest distances of a kept document, and the least length for each histogram to count.
 MAX_CLASS_DISTANCE, CLASS_GUARD_CHARS = 0.28, 200
-MAX_WORD_DISTANCE, WORD_GUARD_WORDS = 0.28, 100
+MAX_WORD_DISTANCE, WORD_GUARD_WORDS = 0.28, 150
 
 
 def let(value: Column, body) -> Column:
