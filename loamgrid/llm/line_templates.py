@@ -63,8 +63,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     named = store(own.select("leaf", "mh").join(like, ["leaf", "mh"], "left").withColumn("template", F.coalesce("template", "mh")), "templates")
     placed = lines.select("doc_id", "h", "pos", "leaf", "mh").join(named, ["leaf", "mh"]).select("doc_id", "h", "pos", "leaf", "template")
     placed = store(placed, "placed")
+    # written, so that the join below stands between two plain exchanges and a hot template's rows can be split
     recurring = placed.groupBy("leaf", "template", "doc_id", "h").agg(F.lit(1).alias("one")).groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), first_of("doc_id", "h").alias("first")).where(f"docs >= {MIN_DOCS}")
-    gone = placed.join(recurring.select("leaf", "template", "first"), ["leaf", "template"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))))
+    recurring = store(recurring.select("leaf", "template", "first"), "recurring")
+    gone = placed.join(recurring, ["leaf", "template"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))))
     return gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
