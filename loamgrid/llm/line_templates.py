@@ -13,8 +13,12 @@ several lines and enough documents to matter. Counts are aggregated before any s
 a line found in a third of all documents is one row of each task. The joins that texts take part in are
 merge joins at every size: what they meet grows with the documents.
 
+The pipeline's ``without_lines`` takes lines of any length (``whole``). A line of one or two tokens that
+all hold digits has no fixed token to go by and stands for itself, digits and all. ``digest`` leaves lines of
+fewer than ``MIN_TOKENS`` tokens alone unless asked, as the SQL of its query does.
+
 Defined cases: null and empty texts have one line without tokens and keep it (a null text stays null);
-lines of fewer than ``MIN_TOKENS`` tokens are kept; rows that repeat both doc_id and text are one
+blank lines are kept; rows that repeat both doc_id and text are one
 document; a null doc_id comes last among the firsts; an empty table gives an empty result.
 """
 
@@ -33,10 +37,17 @@ def masked(line: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(line, SPACES, " ")), FIELD, "<*>")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, n, leaf, m) of every line with enough tokens."""
+def named_by(line: Column) -> Column:
+    """The masked line; of one or two tokens that all hold digits, the tokens themselves."""
+    m = masked(line)
+    return F.when(m.isin("<*>", "<*> <*>"), F.trim(F.regexp_replace(line, SPACES, " "))).otherwise(m)
+
+
+def lines_of(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, h, pos, n, leaf, m) of every line with enough tokens: one if ``whole``."""
     found = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    tokens = found.select("doc_id", "h", "pos", masked("line").alias("m")).withColumn("t", F.split("m", " ")).withColumn("n", F.size("t")).where(f"n >= {MIN_TOKENS}")
+    named, enough = (named_by, "m <> ''") if whole else (masked, f"n >= {MIN_TOKENS}")
+    tokens = found.select("doc_id", "h", "pos", named(F.col("line")).alias("m")).withColumn("t", F.split("m", " ")).withColumn("n", F.size("t")).where(enough)
     return tokens.select("doc_id", "h", "pos", "n", F.xxhash64("n", *[F.get("t", i) for i in range(LEAD)]).alias("leaf"), "m")
 
 
@@ -44,9 +55,9 @@ def first_of(doc: str, h: str) -> Column:
     return F.min(F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc_id"), F.col(h).alias("h")))
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, whole: bool) -> DataFrame:
     """(doc_id, h, gone) of the documents that lose lines: the sorted positions of those lines."""
-    lines = store(lines_of(docs).select("doc_id", "h", "pos", "n", "leaf", F.xxhash64(F.lit(7), "m").alias("mh")), "lines")
+    lines = store(lines_of(docs, whole).select("doc_id", "h", "pos", "n", "leaf", F.xxhash64(F.lit(7), "m").alias("mh")), "lines")
     each = lines.groupBy("leaf", "mh", "doc_id", "h").agg(F.min("pos").alias("pos"))
     alike = store(each.groupBy("leaf", "mh").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "pos")).alias("at")), "alike")
     leaves = alike.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds"), F.min(F.struct((-F.col("docs")).alias("few"), "at", "mh")).alias("seed"))
@@ -70,26 +81,26 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
-def cut(docs: DataFrame) -> DataFrame:
+def cut(docs: DataFrame, whole: bool) -> DataFrame:
     """The rows of ``docs`` with their _lines, _gone and _kept (text) beside their own columns in _row."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"), F.col("text").alias("_text"))
-    gone = dropped_lines(docs.select("doc_id", "text"))
+    gone = dropped_lines(docs.select("doc_id", "text"), whole)
     both = own.join(gone.hint("merge"), (F.col("_h") == F.col("h")) & F.col("_d").eqNullSafe(F.col("doc_id")), "left")
     ls = F.split("_text", "\n", -1)
     kept = F.array_join(F.filter(ls, lambda x, i: ~F.array_contains("gone", i)), "\n")
     return both.select("_row", F.size(F.split(F.coalesce("_text", F.lit("")), "\n", -1)).cast("long").alias("_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_gone"), F.when(F.col("gone").isNull(), F.col("_text")).otherwise(kept).alias("_kept"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 of every row."""
-    c = cut(docs.select("doc_id", "text"))
+def digest(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 of every row; by the rules of ``oracle`` unless ``whole``."""
+    c = cut(docs.select("doc_id", "text"), whole)
     n = F.when(F.col("_gone") > 0, F.col("_gone")).otherwise(F.lit(0)).cast("long")
     return c.select("_row.doc_id", F.col("_lines").alias("n_lines"), n.alias("n_dropped"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 def without_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the kept text, and n_chars to match; a document that loses all its words goes."""
-    c = cut(docs).where((F.col("_gone") <= 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
+    c = cut(docs, True).where((F.col("_gone") <= 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("_kept"), "n_chars": F.when(F.col("_gone") > 0, F.length("_kept").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
     return c.select(*[new[k].alias(k) if new.get(k) is not None else F.col(f"_row.`{k}`") for k in docs.columns])
 

@@ -40,3 +40,10 @@ def test_a_long_token_without_digits_is_parsed_in_linear_time(spark):
 
 def test_empty_table(nothing):
     assert T.digest(nothing).count() == 0 and T.without_lines(nothing).count() == 0
+
+
+def test_short_lines_recur_too_and_bare_numbers_stand_for_themselves(spark):
+    docs = spark.createDataFrame([(k, f"Read more\nHome\nPage {k}\n{100 + k}\n\n7\nown line {'x' * (k + 1)} {'y' * (k + 1)}") for k in range(12)], "doc_id long, text string")
+    assert all(r["n_dropped"] == (4 if r["doc_id"] else 0) for r in T.digest(docs, whole=True).collect())
+    kept = {r["doc_id"]: r["text"] for r in T.without_lines(docs).collect()}
+    assert kept[3] == "103\n\nown line xxxx yyyy" and kept[0].startswith("Read more\nHome\nPage 0\n100\n\n7\n")
