@@ -8,6 +8,10 @@ long enough for the histogram at hand (minimum-length guards) and the distance e
 The base rules: fewer than 50 words, or over half of the words inside a 3-word window that occurs
 twice or more in the text. All counts are over the whole text.
 
+The pipeline's ``keep_good`` holds shorter texts to the word histogram as well, by a limit that widens from
+``WORD_GUARD_WORDS`` down to ``MIN_WORDS`` words and stays below the distance of a text without any common word.
+``judge`` has the switch alone, as the SQL of its query does.
+
 Arrays of a document are bound once by ``let``; a plain column would be put into the lambdas by the
 optimiser and evaluated again for every element.
 
@@ -44,6 +48,8 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: The largest distances of a kept document, and the least length for each histogram to count.
 MAX_CLASS_DISTANCE, CLASS_GUARD_CHARS = 0.28, 200
 MAX_WORD_DISTANCE, WORD_GUARD_WORDS = 0.28, 150
+#: The word limit of a text of MIN_WORDS words; a text without any common word is at 0.3233.
+MAX_SHORT_WORD_DISTANCE = 0.32
 
 
 def let(value: Column, body) -> Column:
@@ -105,7 +111,7 @@ def js_distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(total / F.lit(2.0), F.lit(0.0)))
 
 
-def measures(text: Column) -> Column:
+def measures(text: Column, short: bool = False) -> Column:
     """Counts, distances and verdicts of a text, as one struct.
 
     It is one expression in which every step is bound: no rule of the optimiser can write a step out
@@ -135,19 +141,26 @@ def measures(text: Column) -> Column:
             return let(let(own, rest), lambda p: js_distance(p, [*q.values(), 1 - sum(q.values())]))
 
         by_word = F.least(*map(word_distance, WORD_SHARES.values()))
-        return let(F.struct(by_class.alias("c"), by_word.alias("w")), lambda d: verdicts(m, d))
+        return let(F.struct(by_class.alias("c"), by_word.alias("w")), lambda d: verdicts(m, d, short))
 
     return let(F.coalesce(text, F.lit("")), lambda t: let(let(raw(t), counted), judged))
 
 
-def verdicts(m: Column, d: Column) -> Column:
+def verdicts(m: Column, d: Column, short: bool) -> Column:
     n, r = m["n_words"], m["n_repeat_words"]
     failed = (n < MIN_WORDS) | (100 * r > MAX_REPEATED_PERCENT * n)
-    odd = ((m["word_chars"] >= CLASS_GUARD_CHARS) & (d["c"] > MAX_CLASS_DISTANCE)) | ((n >= WORD_GUARD_WORDS) & (d["w"] > MAX_WORD_DISTANCE))
+    strange = d["w"] > word_limit(n) if short else (n >= WORD_GUARD_WORDS) & (d["w"] > MAX_WORD_DISTANCE)
+    odd = ((m["word_chars"] >= CLASS_GUARD_CHARS) & (d["c"] > MAX_CLASS_DISTANCE)) | strange
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return F.struct(*[m[k].alias(k) for k in names], failed.alias("base_failed"), (~failed & ~odd).alias("kept"), d["c"].alias("class_distance"), d["w"].alias("word_distance"))
 
 
+def word_limit(n: Column) -> Column:
+    """The largest word distance of a kept text of n words: a straight line up to the guard, level from there."""
+    missing = F.greatest(F.lit(WORD_GUARD_WORDS) - n, F.lit(0)).cast("double") / F.lit(float(WORD_GUARD_WORDS - MIN_WORDS))
+    return F.lit(MAX_WORD_DISTANCE) + F.lit(MAX_SHORT_WORD_DISTANCE - MAX_WORD_DISTANCE) * F.least(missing, F.lit(1.0))
+
+
 def left_over(solid: Column) -> Column:
     """Characters that are left after each class has been taken out, one after the other."""
 
@@ -171,8 +184,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns they came with."""
-    return docs.where(measures(F.col("text"))["kept"])
+    """The rows of ``docs`` that are kept, with the columns they came with; short texts are judged, too."""
+    return docs.where(measures(F.col("text"), short=True)["kept"])
 
 
 def oracle() -> str:

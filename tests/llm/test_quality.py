@@ -46,3 +46,11 @@ def test_the_plan_has_no_python(awkward):
 
 def test_empty_table(nothing):
     assert Q.judge(nothing).count() == 0 and Q.keep_good(nothing).count() == 0
+
+
+def test_short_texts_without_common_words_are_not_kept(spark):
+    made = [f"{a}{b}rn{c}" for a in "bdfgk" for b in "aeiou" for c in "dkmpt"]
+    common = ["the", "of", "and", "to", "in"] * 5
+    mixed = [w for k, w in enumerate(made[:75]) for w in ([w, common[k // 3]] if k % 3 == 0 else [w])]
+    rows = spark.createDataFrame([(1, " ".join(made[:60])), (2, " ".join(made)), (3, " ".join(mixed))], "doc_id long, text string")
+    assert [r["doc_id"] for r in Q.keep_good(rows).collect()] == [3]
