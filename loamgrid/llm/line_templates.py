@@ -13,7 +13,9 @@ several lines and enough documents to matter. Counts are aggregated before any s
 a line found in a third of all documents is one row of each task. The joins that texts take part in are
 merge joins at every size: what they meet grows with the documents.
 
-The pipeline's ``without_lines`` takes lines of any length (``whole``). A line of one or two tokens that
+The pipeline's ``without_lines`` takes lines of any length (``whole``) and seeds a leaf again and again: the
+most frequent line that no seed has taken is the next one, until all lines are taken. A leaf's masked lines
+are compared with its seeds in one task. ``digest`` has one seed for each leaf unless asked. A line of one or two tokens that
 all hold digits has no fixed token to go by and stands for itself, digits and all. ``digest`` leaves lines of
 fewer than ``MIN_TOKENS`` tokens alone unless asked, as the SQL of its query does.
 
@@ -55,6 +57,28 @@ def first_of(doc: str, h: str) -> Column:
     return F.min(F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc_id"), F.col(h).alias("h")))
 
 
+def near_seed(examples: DataFrame) -> DataFrame:
+    """(leaf, mh, template) of the lines that are like their leaf's seed."""
+    seeds = examples.where("mh = seed").select("leaf", F.col("m").alias("sm"))
+    agree = F.size(F.filter(F.zip_with(F.split("m", " "), F.split("sm", " "), lambda a, b: a == b), lambda x: x))
+    return examples.join(seeds, "leaf").where((F.col("mh") == F.col("seed")) | (agree >= F.lit(LIKE) * F.size(F.split("m", " ")))).select("leaf", "mh", F.col("seed").alias("template"))
+
+
+def seeded(examples: DataFrame) -> DataFrame:
+    """(leaf, mh, template) of all lines: the first seed each is like, by repeated seeding."""
+    tokens = F.transform(F.split("m", " "), lambda x: F.xxhash64(x))
+    listed = examples.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("docs")).alias("few"), "at", "mh", tokens.alias("t")))).alias("ls"))
+
+    def like(a: Column, b: Column) -> Column:
+        return F.size(F.filter(F.zip_with(a["t"], b["t"], lambda x, y: x == y), lambda x: x)) >= F.lit(LIKE) * F.size(a["t"])
+
+    # in the order of their counts, a line that is like no seed before it is the next seed
+    seeds = F.aggregate("ls", F.slice("ls", 1, 0), lambda found, x: F.when(F.exists(found, lambda s: like(x, s)), found).otherwise(F.concat(found, F.array(x))))
+    both = listed.select("leaf", "ls", seeds.alias("seeds"))
+    placed = both.select("leaf", F.explode(F.transform("ls", lambda x: F.struct(x["mh"].alias("mh"), F.filter("seeds", lambda s: like(x, s))[0]["mh"].alias("template")))).alias("w"))
+    return placed.select("leaf", "w.mh", "w.template")
+
+
 def dropped_lines(docs: DataFrame, whole: bool) -> DataFrame:
     """(doc_id, h, gone) of the documents that lose lines: the sorted positions of those lines."""
     lines = store(lines_of(docs, whole).select("doc_id", "h", "pos", "n", "leaf", F.xxhash64(F.lit(7), "m").alias("mh")), "lines")
@@ -62,15 +86,14 @@ def dropped_lines(docs: DataFrame, whole: bool) -> DataFrame:
     alike = store(each.groupBy("leaf", "mh").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "pos")).alias("at")), "alike")
     leaves = alike.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds"), F.min(F.struct((-F.col("docs")).alias("few"), "at", "mh")).alias("seed"))
     large = store(leaves.where(f"all >= {MIN_DOCS}").select("leaf", "kinds", F.col("seed.mh").alias("seed")), "leaves")
-    own = store(alike.join(large, "leaf").select("leaf", "mh", "at.doc_id", "at.h", "at.pos", "kinds", "seed"), "examples")
-    mixed = own.where("kinds > 1").select("doc_id", "h", "pos", "leaf", "mh", "seed")
-    wanted = mixed.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("pos", "leaf", "mh", "seed")).alias("w"))
+    order = ["docs", "at"] if whole else []  # what repeated seeding goes by
+    own = store(alike.join(large, "leaf").select("leaf", "mh", "at.doc_id", "at.h", "at.pos", "kinds", "seed", *order), "examples")
+    mixed = own.where("kinds > 1").select("doc_id", "h", "pos", "leaf", "mh", "seed", *order)
+    wanted = mixed.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("pos", "leaf", "mh", "seed", *order)).alias("w"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(wanted.hint("merge"), (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    fetched = texts.select(F.split("text", "\n", -1).alias("ls"), F.explode("w").alias("w")).select("w.leaf", "w.mh", "w.seed", masked(F.get("ls", F.col("w.pos"))).alias("m"))
-    examples = store(fetched.groupBy("leaf", "mh", "seed").agg(F.first("m").alias("m")), "texts")
-    seeds = examples.where("mh = seed").select("leaf", F.col("m").alias("sm"))
-    agree = F.size(F.filter(F.zip_with(F.split("m", " "), F.split("sm", " "), lambda a, b: a == b), lambda x: x))
-    like = examples.join(seeds, "leaf").where((F.col("mh") == F.col("seed")) | (agree >= F.lit(LIKE) * F.size(F.split("m", " ")))).select("leaf", "mh", F.col("seed").alias("template"))
+    fetched = texts.select(F.split("text", "\n", -1).alias("ls"), F.explode("w").alias("w")).select("w.leaf", "w.mh", "w.seed", *[f"w.{c}" for c in order], masked(F.get("ls", F.col("w.pos"))).alias("m"))
+    examples = store(fetched.groupBy("leaf", "mh", "seed").agg(F.first("m").alias("m"), *[F.first(c).alias(c) for c in order]), "texts")
+    like = seeded(examples) if whole else near_seed(examples)
     named = store(own.select("leaf", "mh").join(like, ["leaf", "mh"], "left").withColumn("template", F.coalesce("template", "mh")), "templates")
     placed = lines.select("doc_id", "h", "pos", "leaf", "mh").join(named, ["leaf", "mh"]).select("doc_id", "h", "pos", "leaf", "template")
     placed = store(placed, "placed")

@@ -47,3 +47,11 @@ def test_short_lines_recur_too_and_bare_numbers_stand_for_themselves(spark):
     assert all(r["n_dropped"] == (4 if r["doc_id"] else 0) for r in T.digest(docs, whole=True).collect())
     kept = {r["doc_id"]: r["text"] for r in T.without_lines(docs).collect()}
     assert kept[3] == "103\n\nown line xxxx yyyy" and kept[0].startswith("Read more\nHome\nPage 0\n100\n\n7\n")
+
+
+def test_a_hot_line_does_not_hide_another_template_of_its_leaf(spark):
+    hot = [(k, "user admin logged in from the main office") for k in range(30)]
+    names = [(100 + k, f"user admin logged out by {w} at noon") for k, w in enumerate("abcdefghijkl")]
+    docs = spark.createDataFrame(hot + names, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in T.digest(docs, whole=True).collect()}
+    assert all(got[d] == int(d not in (0, 100)) for d in got)
