@@ -1,55 +1,44 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-A document's histogram of character classes and its histogram of common words are compared with
-references of several languages by Jensen-Shannon distance (base 2, so from 0 to 1). The nearest
-language counts for each histogram. A document is rejected if it fails the base rules, or if it is
-long enough for the histogram at hand (minimum-length guards) and the distance exceeds its limit.
+A document's histogram of character classes and its histogram of common words are compared with the
+references of its language (``lang``; null is a language of its own) by Jensen-Shannon distance (base 2,
+so from 0 to 1). A document is rejected if it fails the base rules, or if either distance is above the
+limit for its length. The distance of a good text falls with the root of its number of words, as that of
+any sample from its distribution does, so the limit is ``LIMIT + SLACK / sqrt(words)``: a short text, of
+which a histogram says little, is let pass where a long one is not.
+
+References are learned (``references``) from documents labelled good: of the ``SAMPLE`` labelled ids whose
+md5 is least, the shares of the character classes and of the ``COMMON`` commonest words of each language.
+A language with fewer than ``MIN_REFERENCE_WORDS`` words in that sample has no reference, and its
+documents are judged by the base rules alone. The table of references has at most ``SAMPLE`` rows of some
+hundred bytes, which bounds what is broadcast and what the driver sees.
 
 The base rules: fewer than 50 words, or over half of the words inside a 3-word window that occurs
 twice or more in the text. All counts are over the whole text.
 
-The pipeline's ``keep_good`` holds shorter texts to the word histogram as well, by a limit that widens from
-``WORD_GUARD_WORDS`` down to ``MIN_WORDS`` words and stays below the distance of a text without any common word.
-``judge`` has the switch alone, as the SQL of its query does.
-
 Arrays of a document are bound once by ``let``; a plain column would be put into the lambdas by the
 optimiser and evaluated again for every element.
 
-Defined cases: a null or empty text has no words, all counts are 0 and it fails the base rules; a
-text without letters has no class histogram to speak of and is judged by the base rules and the
-class distance; other columns pass through or are ignored, whatever their names.
+Defined cases: a null or empty text has no words, all counts are 0 and it fails the base rules; without
+labels there are no references; labels of unknown ids, repeated labels and null ids are of no account;
+rows that repeat an id are judged each; other columns pass through or are ignored, whatever their names.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.llm.shared import WORD
+from loamgrid.llm.shared import WORD, store
 
 SPACES = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
-
-#: Shares of character classes in ordinary prose, by language: lower-case a-z, upper-case
-#: A-Z, other letters, digits, full stops and commas, other ASCII punctuation and symbols, anything else.
-CLASSES = ("[a-z]+", "[A-Z]+", r"\p{L}+", "[0-9]+", "[.,]+", r"[!-/:-@\[-`{-~]+")
-CLASS_SHARES = {
-    "en": (0.925, 0.035, 0.001, 0.005, 0.024, 0.008, 0.002),
-    "fr": (0.880, 0.033, 0.045, 0.005, 0.025, 0.010, 0.002),
-    "de": (0.880, 0.060, 0.020, 0.005, 0.025, 0.008, 0.002),
-    "es": (0.905, 0.033, 0.025, 0.005, 0.025, 0.005, 0.002),
-}
-#: Rates of the commonest words among all words, by language.
-WORD_SHARES = {
-    "en": {"the": 0.060, "of": 0.030, "and": 0.028, "to": 0.026, "in": 0.020, "a": 0.022, "is": 0.011, "that": 0.011, "for": 0.010, "it": 0.010, "on": 0.007, "with": 0.007},
-    "fr": {"de": 0.045, "la": 0.030, "le": 0.025, "et": 0.023, "les": 0.020, "des": 0.018, "en": 0.015, "un": 0.012, "du": 0.012, "que": 0.010, "est": 0.010, "une": 0.010},
-    "de": {"der": 0.035, "die": 0.034, "und": 0.028, "in": 0.018, "den": 0.012, "von": 0.011, "zu": 0.011, "das": 0.011, "mit": 0.009, "sich": 0.008, "des": 0.008, "ist": 0.009},
-    "es": {"de": 0.060, "la": 0.036, "que": 0.030, "el": 0.027, "en": 0.026, "y": 0.026, "a": 0.020, "los": 0.016, "se": 0.012, "del": 0.012, "las": 0.011, "un": 0.010},
-}
+PLAIN = r"[a-z\x20\x09-\x0D]+"  #: the commonest class, and what is no part of a word
+#: Characters by class: lower-case a-z (what the first pattern leaves out), upper-case A-Z, other letters, digits,
+#: full stops and commas, other ASCII punctuation and symbols, anything else (what the last one leaves).
+CLASSES = ("[A-Z]+", r"\p{L}+", "[0-9]+", "[.,]+", r"[!-/:-@\[-`{-~]+")
+SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-#: The largest distances of a kept document, and the least length for each histogram to count.
-MAX_CLASS_DISTANCE, CLASS_GUARD_CHARS = 0.28, 200
-MAX_WORD_DISTANCE, WORD_GUARD_WORDS = 0.28, 150
-#: The word limit of a text of MIN_WORDS words; a text without any common word is at 0.3233.
-MAX_SHORT_WORD_DISTANCE = 0.32
+POSITION_BITS = 31
+LIMIT, SLACK = 0.08, 1.8
+COMMON, SAMPLE, MIN_REFERENCE_WORDS = 12, 20_000, 2000
 
 
 def let(value: Column, body) -> Column:
@@ -65,30 +54,32 @@ def words(text: Column) -> Column:
 def repeated_words(found: Column) -> Column:
     """Number of words inside a 3-word window that occurs twice or more.
 
-    Each window becomes one long, 40 bits of its hash above its position, and the longs are sorted;
-    equal windows are neighbours. Neighbours of equal hash bits are compared word by word.
+    Each window becomes one long, the low bits of its hash above its position, and the longs are sorted:
+    a window whose hash bits stand alone is not repeated. The others are sorted by their very words, where
+    equal windows are neighbours whatever their hashes have in common. An array has fewer than 2**31
+    elements, so that every position fits.
     """
-    low = (1 << 24) - 1
+    low = (1 << POSITION_BITS) - 1
 
     def of(ws: Column) -> Column:
-        last = F.size(ws) - 2
-        keys = F.transform(
-            F.sequence(F.lit(1), last),
-            lambda i: F.shiftleft(F.xxhash64(F.element_at(ws, i), F.lit(0), F.element_at(ws, i + 1), F.lit(0), F.element_at(ws, i + 2)), 24).bitwiseOR(i.cast("long")),
-        )
+        return let(candidates(ws), lambda at: F.when(F.size(at) > 1, covered(ws, at)).otherwise(F.lit(0).cast("long")))
+
+    def candidates(ws: Column) -> Column:
+        """Positions, from 0, of the windows whose hash bits occur twice or more."""
+        keys = F.transform(F.slice(ws, F.lit(1), F.size(ws) - 2), lambda w, i: F.shiftleft(F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)), POSITION_BITS).bitwiseOR(i.cast("long")))
+        pair = lambda s: lambda x, k: F.when(F.shiftrightunsigned(x.bitwiseXOR(F.get(s, k + 1)), POSITION_BITS) == 0, F.array(x, F.get(s, k + 1)))
+        pairs = let(F.sort_array(keys), lambda s: F.filter(F.transform(s, pair(s)), lambda x: x.isNotNull()))
+        return F.transform(F.array_distinct(F.flatten(pairs)), lambda x: x.bitwiseAND(low).cast("int"))
 
-        def equal(s: Column, x: Column, k: Column) -> Column:
-            there = F.when((k >= 1) & (k <= F.size(s)), F.element_at(s, F.greatest(k, F.lit(1)).cast("int")))
-            i, j = x.bitwiseAND(low).cast("int"), there.bitwiseAND(low).cast("int")
-            same = (F.element_at(ws, i) == F.element_at(ws, j)) & (F.element_at(ws, i + 1) == F.element_at(ws, j + 1)) & (F.element_at(ws, i + 2) == F.element_at(ws, j + 2))
-            return F.coalesce(F.when(F.shiftrightunsigned(x, 24) == F.shiftrightunsigned(there, 24), same), F.lit(False))
+    def covered(ws: Column, at: Column) -> Column:
+        windows = F.transform(at, lambda i: F.struct(F.get(ws, i).alias("a"), F.get(ws, i + 1).alias("b"), F.get(ws, i + 2).alias("c"), i.alias("i")))
 
-        def covered(s: Column) -> Column:
-            twice = F.filter(s, lambda x, k: equal(s, x, k) | equal(s, x, k + 2))
-            at = F.array_sort(F.transform(twice, lambda x: x.bitwiseAND(low)))
-            return let(at, lambda p: F.aggregate(F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.least(F.lit(3).cast("long"), F.coalesce(b - a, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda t, x: t + x))
+        def same(x: Column, y: Column) -> Column:
+            return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
 
-        return let(F.sort_array(keys), covered)
+        repeated = let(F.sort_array(windows), lambda s: F.transform(F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))), lambda x: x["i"]))
+        # a window adds what the next one does not cover
+        return let(F.sort_array(repeated), lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda t, x: t + x))
 
     return let(found, lambda ws: F.when(F.size(ws) >= 4, of(ws)).otherwise(F.lit(0).cast("long")))
 
@@ -99,120 +90,136 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def js_distance(p: Column, q: list[float]) -> Column:
-    """Jensen-Shannon distance of a document's shares (an array) from a reference, base 2."""
+def class_counts(word_chars: Column, rest: Column) -> Column:
+    """Number of characters of each class, as doubles. rest: the text without ``PLAIN``."""
+
+    def after(left: Column, k: int) -> Column:
+        """Lengths of what is left after each further class has been taken out."""
+        own = F.array(F.length(left).cast("double"))
+        return let(F.regexp_replace(left, CLASSES[k], ""), lambda x: F.concat(own, after(x, k + 1))) if k < len(CLASSES) else own
+
+    lengths = F.concat(F.array(word_chars.cast("double")), after(rest, 0), F.array(F.lit(0.0)))
+    return let(lengths, lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda n, i: n - F.get(x, i + 1)))
+
+
+def js_distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two arrays of shares, base 2."""
 
     def term(a: Column, b: Column) -> Column:
         m = (a + b) / F.lit(2.0)
         own = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
         return own(a) + own(b)
 
-    total = F.aggregate(F.zip_with(p, F.array(*map(F.lit, q)), term), F.lit(0.0), lambda t, x: t + x)
+    total = F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda t, x: t + x)
     return F.sqrt(F.greatest(total / F.lit(2.0), F.lit(0.0)))
 
 
-def measures(text: Column, short: bool = False) -> Column:
-    """Counts, distances and verdicts of a text, as one struct.
+def shares(counts: Column, total: Column) -> Column:
+    return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1)).cast("double"))
+
+
+def with_rest(p: Column) -> Column:
+    """An array of shares, and what they leave of 1."""
+    return let(p, lambda x: F.concat(x, F.array(F.aggregate(x, F.lit(1.0), lambda t, y: t - y))))
+
+
+def references(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, common: int = COMMON, least: int = MIN_REFERENCE_WORDS) -> DataFrame:
+    """(_lang, voc, word_shares, class_shares) of each language, from the good documents of the sample."""
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(sample)
+    rows = docs.select("doc_id", F.col("lang").alias("_lang"), "text").join(F.broadcast(good), F.col("doc_id") == F.col("_id"), "left_semi")
+    each = rows.select("_lang", F.explode(words(F.lower("text"))).alias("w")).groupBy("_lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("_lang").orderBy(F.col("n").desc(), "w")
+    top = each.withColumn("r", F.row_number().over(order)).where(f"r <= {common}").groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n"))).alias("top"))
+    total = each.groupBy(F.col("_lang").alias("_l")).agg(F.sum("n").alias("total")).where(f"total >= {least}")
+    parts = rows.select("_lang", F.length(F.array_join(words(F.col("text")), "")).alias("k"), F.regexp_replace("text", PLAIN, "").alias("rest"))
+    classes = parts.select("_lang", class_counts(F.col("k"), F.col("rest")).alias("c")).groupBy(F.col("_lang").alias("_m")).agg(F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(len(CLASSES) + 2)]).alias("c"))
+    found = top.join(total, F.col("_lang").eqNullSafe(F.col("_l"))).join(classes, F.col("_lang").eqNullSafe(F.col("_m")))
+    in_all = F.aggregate("c", F.lit(0.0), lambda t, x: t + x)
+    return found.select("_lang", F.col("top.w").alias("voc"), with_rest(shares(F.col("top.n"), F.col("total"))).alias("word_shares"), shares(F.col("c"), in_all).alias("class_shares"))
+
+
+def measures(text: Column, known: list[str], voc: Column, word_shares: Column, class_shares: Column) -> Column:
+    """Counts, distances and verdicts of a text, as one struct. known: the common words of all languages.
 
     It is one expression in which every step is bound: no rule of the optimiser can write a step out
     twice, also where a filter on a verdict is pushed below the projection.
     """
-    voc = F.array(*map(F.lit, vocabulary()))
-    at = {w: i + 1 for i, w in enumerate(vocabulary())}
 
     def raw(t: Column) -> Column:
-        joined = F.concat(F.lit(" "), F.regexp_replace(F.lower(t), SPACES, "  "), F.lit(" "))
-        symbols = (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long")
-        return F.struct(words(t).alias("words"), F.regexp_replace(t, SPACES, "").alias("solid"), joined.alias("joined"), symbols.alias("symbols"), duplicate_lines(t).alias("lines"))
+        return F.struct(words(t).alias("words"), F.regexp_replace(t, PLAIN, "").alias("rest"), duplicate_lines(t).alias("lines"))
 
     def counted(s: Column) -> Column:
-        occurrences = F.transform(voc, lambda w: ((F.octet_length(s["joined"]) - F.octet_length(F.replace(s["joined"], F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("double"))
-        return F.struct(F.size(s["words"]).cast("long").alias("n_words"), F.length(s["solid"]).cast("long").alias("word_chars"), s["symbols"].alias("n_symbols"), s["lines"].alias("n_dup_lines"), repeated_words(s["words"]).alias("n_repeat_words"), left_over(s["solid"]).alias("left"), occurrences.alias("common"))
-
-    def judged(m: Column) -> Column:
-        n_chars, n_words = F.greatest(m["word_chars"], F.lit(1)).cast("double"), F.greatest(m["n_words"], F.lit(1)).cast("double")
-        left = F.concat(F.array(m["word_chars"].cast("double")), m["left"], F.array(F.lit(0.0)))
-        shares = let(left, lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: (F.element_at(x, i) - F.element_at(x, i + 1)) / n_chars))
-        by_class = let(shares, lambda p: F.least(*[js_distance(p, list(q)) for q in CLASS_SHARES.values()]))
+        hits = F.transform(F.filter(s["words"], lambda w: F.lower(w).isin(known)), F.lower)
+        n_words, word_chars = F.size(s["words"]).cast("long"), F.length(F.array_join(s["words"], "")).cast("long")
+        symbols = F.regexp_count(s["rest"], F.lit(SYMBOLS)).cast("long")
+        common = let(hits, lambda h: F.transform(voc, lambda v: (F.size(h) - F.size(F.array_remove(h, v))).cast("double")))
+        return F.struct(n_words.alias("n_words"), word_chars.alias("word_chars"), symbols.alias("n_symbols"), s["lines"].alias("n_dup_lines"), repeated_words(s["words"]).alias("n_repeat_words"), common.alias("common"), s["rest"].alias("rest"))
 
-        def word_distance(q: dict[str, float]) -> Column:
-            own = F.array(*[F.element_at(m["common"], F.lit(at[w])) / n_words for w in q])
-            rest = lambda p: F.concat(p, F.array(F.aggregate(p, F.lit(1.0), lambda t, x: t - x)))
-            return let(let(own, rest), lambda p: js_distance(p, [*q.values(), 1 - sum(q.values())]))
+    def compared(m: Column) -> Column:
+        by_class = let(shares(class_counts(m["word_chars"], m["rest"]), m["word_chars"]), lambda p: js_distance(p, class_shares))
+        by_word = let(with_rest(shares(m["common"], m["n_words"])), lambda p: js_distance(p, word_shares))
+        return let(F.struct(by_class.alias("c"), by_word.alias("w")), lambda d: verdicts(m, d))
 
-        by_word = F.least(*map(word_distance, WORD_SHARES.values()))
-        return let(F.struct(by_class.alias("c"), by_word.alias("w")), lambda d: verdicts(m, d, short))
+    return let(F.coalesce(text, F.lit("")), lambda t: let(let(raw(t), counted), compared))
 
-    return let(F.coalesce(text, F.lit("")), lambda t: let(let(raw(t), counted), judged))
 
-
-def verdicts(m: Column, d: Column, short: bool) -> Column:
+def verdicts(m: Column, d: Column) -> Column:
     n, r = m["n_words"], m["n_repeat_words"]
     failed = (n < MIN_WORDS) | (100 * r > MAX_REPEATED_PERCENT * n)
-    strange = d["w"] > word_limit(n) if short else (n >= WORD_GUARD_WORDS) & (d["w"] > MAX_WORD_DISTANCE)
-    odd = ((m["word_chars"] >= CLASS_GUARD_CHARS) & (d["c"] > MAX_CLASS_DISTANCE)) | strange
+    limit = F.lit(LIMIT) + F.lit(SLACK) / F.sqrt(F.greatest(n, F.lit(1)).cast("double"))
+    odd = F.coalesce(F.greatest(d["c"], d["w"]) > limit, F.lit(False))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return F.struct(*[m[k].alias(k) for k in names], failed.alias("base_failed"), (~failed & ~odd).alias("kept"), d["c"].alias("class_distance"), d["w"].alias("word_distance"))
 
 
-def word_limit(n: Column) -> Column:
-    """The largest word distance of a kept text of n words: a straight line up to the guard, level from there."""
-    missing = F.greatest(F.lit(WORD_GUARD_WORDS) - n, F.lit(0)).cast("double") / F.lit(float(WORD_GUARD_WORDS - MIN_WORDS))
-    return F.lit(MAX_WORD_DISTANCE) + F.lit(MAX_SHORT_WORD_DISTANCE - MAX_WORD_DISTANCE) * F.least(missing, F.lit(1.0))
-
-
-def left_over(solid: Column) -> Column:
-    """Characters that are left after each class has been taken out, one after the other."""
-
-    def after(rest: Column, k: int) -> Column:
-        one = F.regexp_replace(rest, CLASSES[k], "")
-        own = lambda x: F.array(F.length(x).cast("double"))
-        return let(one, lambda x: F.concat(own(x), after(x, k + 1))) if k + 1 < len(CLASSES) else let(one, own)
-
-    return after(solid, 0)
-
-
-def vocabulary() -> list[str]:
-    return sorted({w for q in WORD_SHARES.values() for w in q})
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` as _row (all its columns), with the measures as _m."""
+    refs = store(references(docs, labels), "references")
+    known = sorted({w for r in refs.select("voc").collect() for w in r["voc"]})
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"), F.col("lang").alias("_l"))
+    both = own.join(F.broadcast(refs), F.col("_l").eqNullSafe(F.col("_lang")), "left")
+    return both.select("_row", measures(F.col("_text"), known, *[F.col(c) for c in ("voc", "word_shares", "class_shares")]).alias("_m"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts and the verdicts of every document."""
-    found = docs.select("doc_id", measures(F.col("text")).alias("m"))
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the counts, the verdicts and the distances of every row of ``docs`` (doc_id, text, lang)."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return found.select("doc_id", *[F.col(f"m.{k}").alias(k) for k in names])
+    return judged(docs.select("doc_id", "text", "lang"), labels).select("_row.doc_id", *[F.col(f"_m.{k}").alias(k) for k in names])
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns they came with; short texts are judged, too."""
-    return docs.where(measures(F.col("text"), short=True)["kept"])
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns they came with."""
+    return judged(docs, labels).where("_m.kept").select("_row.*")
 
 
 def oracle() -> str:
-    """DuckDB SQL for ``judge`` over ``documents``."""
+    """DuckDB SQL for ``judge`` over ``documents`` and ``labels``."""
     spaces = r"[\x20\x09-\x0D]"
-    voc = vocabulary()
-    classes, rest = [], "solid"
+    classes, rest = [], f"regexp_replace(text, '{PLAIN}', '', 'g')"
     for i, c in enumerate(CLASSES):
+        classes.append(f"length({rest})::DOUBLE AS k{i + 1}")
         rest = f"regexp_replace({rest}, '{c}', '', 'g')"
-        classes.append(f"length({rest})::DOUBLE AS k{i}")
-    classes = ", ".join(classes)
-    common = ", ".join(f"len(list_filter(ws, lambda x: lower(x) = '{w}'))::DOUBLE AS w{i}" for i, w in enumerate(voc))
-    js = lambda p, q: "sqrt(greatest((" + " + ".join(f"(CASE WHEN {a} > 0 THEN ({a}) * log2(({a}) / ((({a}) + {b!r}::DOUBLE) / 2)) ELSE 0::DOUBLE END)" + (f" + {b!r}::DOUBLE * log2({b!r}::DOUBLE / ((({a}) + {b!r}::DOUBLE) / 2))" if b > 0 else "") for a, b in zip(p, q, strict=True)) + ") / 2, 0))"
-    n_chars, n_words, k = "greatest(word_chars, 1)::DOUBLE", "greatest(n_words, 1)::DOUBLE", len(CLASSES)
-    left = ["word_chars::DOUBLE", *[f"k{i}" for i in range(k)]]
-    shares = [f"({x} - {y}) / {n_chars}" for x, y in zip(left, left[1:], strict=False)] + [f"{left[-1]} / {n_chars}"]
-    by_class = ", ".join(js(shares, q) for q in CLASS_SHARES.values())
-    by_word = ", ".join(js([*[f"w{voc.index(w)} / {n_words}" for w in q], "(n_words - " + " - ".join(f"w{voc.index(w)}" for w in q) + f") / {n_words}"], [*q.values(), 1 - sum(q.values())]) for q in WORD_SHARES.values())
+    last = len(CLASSES) + 1
+    classes = ", ".join([*classes, f"length({rest})::DOUBLE AS k{last}"])
+    counts = "[" + ", ".join([*(f"k{i} - k{i + 1}" for i in range(last)), f"k{last}"]) + "]"
+    js = lambda p, q: f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda x: (CASE WHEN x[1] > 0 THEN x[1] * log2(x[1] / ((x[1] + x[2]) / 2)) ELSE 0::DOUBLE END) + (CASE WHEN x[2] > 0 THEN x[2] * log2(x[2] / ((x[1] + x[2]) / 2)) ELSE 0::DOUBLE END))) / 2, 0))"
+    part = lambda n, of: f"list_transform({n}, lambda x: x / greatest({of}, 1)::DOUBLE)"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(text, '{spaces}+'), lambda x: x <> '') AS ws, regexp_replace(text, '{spaces}+', '', 'g') AS solid FROM d),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '{spaces}+'), lambda x: x <> '') AS ws, length(regexp_replace(text, '{spaces}+', '', 'g'))::DOUBLE AS k0, {classes} FROM d),
+g AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {SAMPLE}),
+e AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(list_filter(regexp_split_to_array(lower(text), '{spaces}+'), lambda x: x <> '')) AS w FROM w SEMI JOIN g USING (doc_id)) GROUP BY lang, w),
+rt AS (SELECT lang AS tl, sum(n)::DOUBLE AS total FROM e GROUP BY lang HAVING sum(n) >= {MIN_REFERENCE_WORDS}),
+rw AS (SELECT lang AS rl, list(w ORDER BY r) AS voc, list(n::DOUBLE ORDER BY r) AS vn FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM e) WHERE r <= {COMMON} GROUP BY lang),
+rc AS (SELECT lang AS cl, [{", ".join(f"sum(c[{i + 1}])" for i in range(last + 1))}] AS cn FROM (SELECT lang, {counts} AS c FROM w SEMI JOIN g USING (doc_id)) GROUP BY lang),
+ref AS (SELECT rl, voc, list_concat({part("vn", "total")}, [1 - list_sum({part("vn", "total")})]) AS wq, {part("cn", "list_sum(cn)")} AS cq FROM rw JOIN rt ON rl IS NOT DISTINCT FROM tl JOIN rc ON rl IS NOT DISTINCT FROM cl),
 tri AS (SELECT rid, i, ws[i:i+2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 dup AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM tri) WHERE n > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS r FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY rid),
-m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(solid)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, k0::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
  (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))))::BIGINT AS n_dup_lines,
- coalesce(r, 0)::BIGINT AS n_repeat_words, {classes}, {common} FROM w LEFT JOIN cov USING (rid)),
-j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed, least({by_class}) AS cd, least({by_word}) AS wd FROM m)
+ coalesce(r, 0)::BIGINT AS n_repeat_words, {counts} AS c, list_transform(voc, lambda v: len(list_filter(ws, lambda x: lower(x) = v))::DOUBLE) AS vn, wq, cq FROM w LEFT JOIN cov USING (rid) LEFT JOIN ref ON lang IS NOT DISTINCT FROM rl),
+p AS (SELECT *, {part("c", "word_chars")} AS cp, list_concat({part("vn", "n_words")}, [1 - list_sum({part("vn", "n_words")})]) AS wp FROM m),
+j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed, greatest({js("cp", "cq")}, {js("wp", "wq")}) AS far FROM p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
- NOT base_failed AND NOT (word_chars >= {CLASS_GUARD_CHARS} AND cd > {MAX_CLASS_DISTANCE}) AND NOT (n_words >= {WORD_GUARD_WORDS} AND wd > {MAX_WORD_DISTANCE}) AS kept FROM j"""
+ NOT base_failed AND NOT coalesce(wq IS NOT NULL AND far > {LIMIT} + {SLACK} / sqrt(greatest(n_words, 1)::DOUBLE), false) AS kept FROM j"""

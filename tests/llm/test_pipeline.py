@@ -8,6 +8,7 @@ import corpus_pipeline as P
 def folder(awkward, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("sf"))
     awkward.write.parquet(f"{path}/documents.parquet")
+    awkward.selectExpr("doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{path}/labels.parquet")
     return path
 
 
