@@ -2,20 +2,29 @@
 
 A page is cut into blocks at block-level tags; inline tags leave no trace. Each block has its number of
 words and its link density (the share of its words inside links), those of the block before and after
-it, and what the tags around it say: a container for navigation, forms and the like by its name or by
-a word in its class or id, an article or main container, a heading. A decision tree (Gini impurity,
-grown to the end of a small table) says which blocks are text of the article. The table is made from
-the annotated pages below, by the very pass that cuts up the pages to be judged.
+it, and what the tags around it say: a container for navigation, forms and the like by its name or role,
+one by a word of its class or id, an article or main container, a heading. A decision tree (Gini impurity,
+grown to the end of a small table) says which blocks are text of the article. The table (``annotated``) has
+pages with telling tags, with telling class names, and with neither, where only words and links, the
+block's own and its neighbours', tell a short paragraph from a short line between menus. It is cut up by
+the very pass that cuts up the pages to be judged.
 
 Character references are decoded, white space inside a block becomes one space, and the blocks kept are
 joined by one space in page order.
 
-Defined cases: null and empty pages have no text; unclosed tags, quotes and comments end with the page;
-a page of any length is read whole; repeated pages give repeated rows.
+What HTML lets a page leave out is filled in: the head has no end of its own; content that is never shown
+(``noscript``, ``svg``, ``button`` and the like) ends with its own end tag, with its parent's, or where a
+tag opens that cannot stand inside it, and where no end tag follows at all, nothing is left out.
+
+Defined cases: null and empty pages have no text; unclosed tags, quotes, comments, scripts and styles end
+with the page; an unclosed title ends at the next tag; a page of any length is read whole, in linear time;
+repeated pages give repeated rows.
 """
 
 import html
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,18 +33,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Tags by their part in a page.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-SKIPPED = frozenset("script style noscript template iframe svg math object select textarea button title head canvas audio video map datalist".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom mspace menclose semantics annotation".split()
+)
 RAW = frozenset("script style textarea title".split())  #: their content is no markup
+HIDDEN = frozenset("noscript template iframe svg object select button canvas audio video datalist".split())  #: their content is no text of the page
+WITHIN = frozenset("script style noscript template svg".split())  #: they do not end a block
+SECTIONS = frozenset("article main body section h1 h2 h3".split())  #: none of these stands in a hidden element that is closed
+FLOW = SECTIONS | frozenset("p h4 h5 h6 ul ol dl table blockquote pre nav footer header aside form".split())  #: nor these in one of phrases
+PHRASES = frozenset("svg button select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset header address".split())
+BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BOILER_HINT = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|menu|nav(?:bar|igation)?|sidebar|side|footer|header|masthead|breadcrumbs?|comments?|comment-list|disqus|replies|reply|respond|discussion|"
-    r"notice|notification|alert|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|recommendations|widget|toolbar|pagination|pager|login|signup|search|copyright|legal|disclaimer|tags|byline|skip)(?:$|[-_\s])",
-    re.I,
+BOILER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu nav navbar navigation sidebar side footer header masthead breadcrumb breadcrumbs comment comments commentlist disqus replies reply respond discussion "
+    "notice notification alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations widget toolbar pagination pager login signup search copyright legal disclaimer tags skip".split()
 )
-ARTICLE_HINT = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story|body|text)(?:$|[-_\s])", re.I)
+#: A name that begins so says how a page is laid out, not what the element is.
+LAYOUT_WORDS = frozenset("no has with without layout page body single template grid col row content main article post entry is not".split())
+ARTICLE_WORDS = frozenset("article main content post entry story body text".split())
 ROLES = {"navigation": True, "banner": True, "contentinfo": True, "complementary": True, "search": True, "form": True, "alert": True, "dialog": True, "main": False, "article": False}
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)""", re.S)
@@ -47,18 +64,35 @@ class Block(NamedTuple):
     words: int
     linked: int
     boiler: bool
+    named: bool
     article: bool
     heading: bool
     keep: str | None  #: the annotation, on pages of the table
 
 
+class Container(NamedTuple):
+    """An open element, with what the elements above it hand down."""
+
+    tag: str = ""
+    boiler: bool = False
+    named: bool = False
+    article: bool = False
+    keep: str | None = None
+    hidden: bool = False
+
+
+OUTSIDE = Container()
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks, in order."""
     out: list[Block] = []
     page = page or ""
-    stack: list[tuple[str, bool, bool, str | None]] = []  # tag, boilerplate, article, annotation; each with what is above it
+    stack: list[Container] = []
+    open_: Counter[str] = Counter()
+    ends: dict[str, int] = {}
     parts: list[str] = []
-    linked = links = skip = 0
+    linked = links = 0
     at, heading = 0, ""
 
     def flush() -> None:
@@ -66,19 +100,31 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             words = "".join(parts).split()
             if words:
-                _, boiler, article, keep = stack[-1] if stack else ("", False, False, None)
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), boiler, article, bool(heading), keep))
+                c = stack[-1] if stack else OUTSIDE
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), c.boiler, c.named, c.article, bool(heading), c.keep))
             parts.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not skip:
+        if raw and not (stack and stack[-1].hidden):
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if links:
                 linked += len(text.split())
 
+    def pop() -> str:
+        tag = stack.pop().tag
+        open_[tag] -= 1
+        return tag
+
+    def ended(tag: str) -> bool:
+        """Whether an end tag follows. The next one is remembered, so that all calls read the page once."""
+        if ends.get(tag, -2) != -1 and ends.get(tag, -2) < at:
+            hit = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            ends[tag] = hit.start() if hit else -1
+        return ends[tag] >= 0
+
     found = MARKUP.search(page)
     while found:
         add(page[at : found.start()])
@@ -88,40 +134,56 @@ def blocks(page: str | None) -> list[Block]:
             add(found["cdata"])
         if tag:
             closing, attrs = bool(found["close"] or found["close2"]), found["attrs"] or found["attrs2"] or ""
-            if tag in SKIPPED:
-                if tag not in RAW:
-                    skip = max(0, skip - 1) if closing else skip + (not attrs.endswith("/"))
-                elif not closing:  # straight to the end tag
-                    end = re.compile(rf"</{tag}[^>]*(?:>|\Z)|\Z", re.I).search(page, at)
-                    at = end.end()
-                if tag not in ("script", "style", "noscript", "template"):
+            if tag in RAW:
+                if tag not in WITHIN:
                     flush()
+                if not closing:  # straight to the end tag
+                    if ended(tag):
+                        at = page.find(">", ends[tag]) + 1 or len(page)
+                    elif tag in WITHIN:
+                        at = len(page)
+                    else:
+                        at = page.find("<", at) if "<" in page[at:] else len(page)
             elif tag == "a":
                 links = 0 if closing else 1
             elif tag == "br":
-                parts.append(" ")
+                add(" ")
             elif tag not in INLINE:
-                flush()
+                if tag not in WITHIN:
+                    flush()
                 if tag in HEADINGS:
                     heading = "" if closing else tag
                 if closing:
-                    if any(s[0] == tag for s in stack):
-                        while stack.pop()[0] != tag:
+                    if open_[tag]:
+                        while pop() != tag:
                             pass
                 elif tag not in VOID and not attrs.endswith("/"):
-                    if stack and (stack[-1][0] == "p" or tag == stack[-1][0] in ("li", "td", "tr", "dd", "dt", "option")):
-                        stack.pop()
-                    stack.append(container(tag, attrs, stack[-1] if stack else ("", False, False, None)))
+                    while stack and stack[-1].hidden and (tag in SECTIONS or (tag in FLOW and stack[-1].tag in PHRASES)):
+                        pop()
+                    if stack and tag not in HIDDEN and (stack[-1].tag == "p" or tag == stack[-1].tag in ("li", "td", "tr", "dd", "dt", "option")):
+                        pop()
+                    if tag not in HIDDEN or ended(tag):
+                        stack.append(container(tag, attrs, stack[-1] if stack else OUTSIDE))
+                        open_[tag] += 1
         found = MARKUP.search(page, at)
     add(page[at:])
     flush()
     return out
 
 
-def container(tag: str, attrs: str, above: tuple) -> tuple[str, bool, bool, str | None]:
-    boiler, article, keep = above[1], above[2], above[3]
+def boiler_name(said: str) -> bool:
+    """Whether a word of a class or id names a part that is no article: the whole, its first part, or its last unless it is about layout."""
+    for name in said.lower().split():
+        parts = re.split("[-_]+", name)
+        if parts[0] in BOILER_WORDS or (parts[-1] in BOILER_WORDS and parts[0] not in LAYOUT_WORDS):
+            return True
+    return False
+
+
+def container(tag: str, attrs: str, above: Container) -> Container:
+    _, boiler, named, article, keep, hidden = above
     if tag in ("article", "main"):
-        boiler, article = False, True
+        boiler, named, article = False, False, True
     boiler |= tag in BOILER_TAGS and not (tag == "header" and article)
     if attrs:
         own = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)}
@@ -129,12 +191,14 @@ def container(tag: str, attrs: str, above: tuple) -> tuple[str, bool, bool, str
         said = f"{own.get('class', '')} {own.get('id', '')}"
         role = ROLES.get(own.get("role", "").lower())
         if tag not in ("body", "html", "article", "main"):
-            boiler |= bool(BOILER_HINT.search(said)) or role is True
-        article |= bool(ARTICLE_HINT.search(said)) or role is False
-    return tag, boiler, article, keep
+            boiler |= role is True
+            named |= boiler_name(said)
+        article |= role is False or any(w in ARTICLE_WORDS for w in re.split(r"[-_\s]+", said.lower()))
+    return Container(tag, boiler, named, article, keep, hidden or tag in HIDDEN)
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "article", "heading")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "named", "article", "heading")
+NEIGHBOURS = (2, 3, 4, 5)
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -144,7 +208,8 @@ def features(found: list[Block]) -> np.ndarray:
     x[:, 0] = [b.words for b in found]
     x[:, 1] = [b.linked / b.words for b in found]
     x[1:, 2:4], x[:-1, 4:6] = x[:-1, :2], x[1:, :2]
-    x[:, 6], x[:, 7], x[:, 8] = [b.boiler for b in found], [b.article for b in found], [b.heading for b in found]
+    for k, name in enumerate(FEATURES[6:], 6):
+        x[:, k] = [getattr(b, name) for b in found]
     return x
 
 
@@ -160,12 +225,15 @@ class Tree:
         self.nodes.append((-1, float(y.mean()), 0, 0))
         best = (2 * y.mean() * (1 - y.mean()) * len(y) - 1e-9, -1, 0.0)
         for f in range(x.shape[1]):
-            values = np.unique(x[:, f])
-            for cut in (values[1:] + values[:-1]) / 2:
-                sides = [y[x[:, f] <= cut], y[x[:, f] > cut]]
-                cost = sum(2 * s.mean() * (1 - s.mean()) * len(s) for s in sides)
-                if cost < best[0] - 1e-12:
-                    best = cost, f, float(cut)
+            order = np.argsort(x[:, f], kind="stable")
+            v, low = x[order, f], np.arange(1, len(y))
+            ones = np.cumsum(y[order])[:-1]
+            high, rest = len(y) - low, y.sum() - ones
+            cost = 2 * ones * (1 - ones / low) + 2 * rest * (1 - rest / high)
+            cost[v[1:] == v[:-1]] = np.inf
+            if len(cost) and cost.min() < best[0] - 1e-12:
+                k = int(cost.argmin())
+                best = float(cost[k]), f, float(v[k] + v[k + 1]) / 2
         if best[1] >= 0:
             low = x[:, best[1]] <= best[2]
             self.nodes[at] = best[1], best[2], self._grow(x[low], y[low]), self._grow(x[~low], y[~low])
@@ -181,38 +249,70 @@ class Tree:
         return out
 
 
-def annotated() -> list[str]:
-    """The pages of the labelled table; ``data-keep`` says y or n for all blocks below a tag."""
+def annotated(pages: int = 240, seed: int = 20240611) -> list[str]:
+    """The pages of the labelled table; ``data-keep`` says y or n for all blocks below a tag.
+
+    A page is laid out in one of four ways: by tags that tell, by class names that tell, by plain
+    ``div`` and ``td``, or by bare paragraphs. In the last two its menus are links, its notices, captions and
+    footers short lines beside them or at the page's ends, and its paragraphs, of any length, stand together.
+    """
+    rnd = random.Random(seed)
     w = lambda n: " ".join(["word"] * n)
     link = lambda n: f'<a href="/x">{w(n)}</a>'
-    menu = "".join(f"<li>{link(1)}</li>" for _ in range(6))
-    p = lambda *sizes: "".join(f"<p>{w(n)}</p>" for n in sizes)
+    size = lambda: rnd.choice([rnd.randint(1, 12), rnd.randint(1, 60), rnd.randint(20, 300)])
+    long = lambda: rnd.randint(25, 250)
     no, yes = 'data-keep="n"', 'data-keep="y"'
-    return [
-        f'<nav {no}><ul>{menu}</ul></nav><div class="ad" {no}>{w(6)}</div><article {yes}><h1>{w(9)}</h1>{p(1, 40, 3, 120, 2, 15)}</article><footer {no}>{w(14)}</footer>',
-        f'<nav {no}>{link(3)}</nav><div class="ad" {no}>{w(30)}</div><article {yes}><h1>{w(3)}</h1>{p(200, 1)}</article><footer {no}>{w(40)}</footer>',
-        f'<header {no}><p>{w(4)}</p>{menu}</header><main {yes}><h1>{w(7)}</h1><p>{w(30)} {link(2)} {w(20)}</p>{p(12, 60)}<aside {no}><h3>{w(2)}</h3>{p(25, 8)}</aside>{p(33, 5)}</main><div class="comments" {no}><h3>{w(1)}</h3>{p(20, 44, 3)}</div>',
-        f'<div id="header" {no}>{w(5)}</div><div id="menu" {no}>{menu}</div><div id="content" {yes}><h2>{w(6)}</h2>{p(80, 24, 45, 9)}</div><div id="sidebar" {no}><h4>{w(2)}</h4>{p(12, 22)}<ul>{menu}</ul></div><div id="footer" {no}>{w(18)} {link(3)}</div>',
-        f'<div class="cookie-notice" {no}>{w(28)} {link(2)}</div><form {no}><p>{w(5)}</p><label>{w(2)}</label></form><article {yes}><h1>{w(11)}</h1>{p(4, 70, 70, 2)}<blockquote>{w(30)}</blockquote><ul><li>{w(12)}</li><li>{w(4)}</li></ul></article><section class="comments" {no}>{p(60, 35, 2)}</section>',
-        f'<div {no}><ul>{menu}</ul></div><div {yes}><h1>{w(8)}</h1>{p(90, 35, 60, 110)}</div><div {no}>{link(2)} {link(3)}</div><div {no}>{w(7)}</div>',
-        f'<table><tr><td {no}>{link(4)}</td><td {no}>{link(2)}</td></tr></table><div {yes}>{p(55, 48, 70)}</div><div {no}>{w(3)} {link(2)}</div><div {no}>{w(4)}</div>',
-        f'<div {no}>{w(3)}</div><div {no}>{link(5)}</div><div {yes}>{p(60, 25, 18, 75)}</div><p {no}>{w(6)} {link(1)}</p>',
-        f'<article {yes}><h1>{w(5)}</h1>{p(20)}<nav {no}>{link(6)}</nav><h2>{w(3)}</h2>{p(31, 2)}<div class="share" {no}>{w(4)}</div><div class="related" {no}>{link(8)}{link(7)}</div></article><footer {no}>{p(50)}</footer>',
-        f'<article {yes}><p>{link(3)}</p><p>{w(8)} {link(9)}</p>{p(40)}<p>{link(12)}</p></article><div class="newsletter" {no}>{p(30)}</div>',
-        f'<article {yes}><header><h1>{w(8)}</h1></header>{p(3)}</article>',
-        f'<nav {no}>{p(2, 2)}</nav><article {yes}><h1>{w(1)}</h1></article><footer {no}>{w(2)}</footer>',
-        f'<article {yes}><h1>{w(2)}</h1>{p(50, 4, 1, 33)}</article>',
-        f'<article {yes}><h2>{w(1)}</h2>{p(2, 7, 12)}</article>',
-        f'<article {yes}><p>{w(1)}</p></article>',
-        f'<article {yes}><p>{w(5)} {link(4)} {w(2)}</p><p>{link(2)}</p></article>',
-        f'<nav {no}>{link(1)}</nav><article {yes}>{p(3, 100)}<p>{link(1)}</p></article>',
-        f'<div {no}>{link(2)}</div><div {yes}>{p(44, 38, 90)}</div>',
-        f'<div {no}>{link(1)} {link(1)}</div><div {yes}><h1>{w(5)}</h1>{p(28, 52)}</div><div {no}>{link(6)}</div>',
-        f'<div {yes}><h1>{w(4)}</h1>{p(65, 22)}</div>',
-        f'<p {yes}>{w(80)}</p>',
-        f'<div {no}>{w(2)}</div><div {yes}>{p(35, 61)}</div><div {no}>{w(3)}</div>',
-        f'<p {no}>{w(4)}</p><p {no}>{w(2)} {link(2)}</p>',
-    ]
+
+    def menu() -> str:
+        return "".join(f"<li>{link(rnd.randint(1, 3))}</li>" for _ in range(rnd.randint(3, 7)))
+
+    def paragraph(n: int) -> str:
+        if rnd.random() < 0.15:
+            return f"<p>{w(n)} {link(rnd.randint(1, 12))} {w(rnd.randint(0, 8))}</p>"
+        return f"<p>{w(n)}</p>" if rnd.random() < 0.95 else f"<p>{link(rnd.randint(1, 12))}</p>"
+
+    def body(plain: bool) -> str:
+        """Paragraphs; in a page without telling tags the first and the last are long, and links stand inside text."""
+        n = rnd.randint(0, 7)
+        if not plain:
+            return f"<h1>{w(rnd.randint(1, 14))}</h1>" + "".join(paragraph(size()) for _ in range(n)) + (f"<blockquote>{w(size())}</blockquote><ul><li>{w(size())}</li><li>{link(3)}</li></ul>" if rnd.random() < 0.2 else "")
+        inner = []
+        for _ in range(n):  # at most one short line between two long ones
+            inner += [rnd.randint(1, 12), long()] if rnd.random() < 0.5 else [long()]
+        title = f"<h1>{w(rnd.randint(4, 12))}</h1>" if rnd.random() < 0.5 else ""
+        return title + "".join(f"<p>{w(k)}</p>" for k in [long(), *inner])
+
+    def boiler(name: str | None) -> str:
+        """A part that is no article, with a telling tag, a telling class name (name), or neither (an empty name)."""
+        inner = rnd.choice([f"<ul>{menu()}</ul>", f"<p>{w(size())}</p>", f"<p>{w(size())}</p><p>{w(size())}</p>", f"<h3>{w(2)}</h3><p>{w(size())} {link(3)}</p>", w(size())])
+        if name is None:
+            tag = rnd.choice(["nav", "footer", "aside", "form", "header"])
+            return f"<{tag} {no}>{inner}</{tag}>"
+        return f'<div class="{name}" {no}>{inner}</div>'
+
+    def lines(tag: str) -> str:
+        """Menus and short lines, never a paragraph, in plain elements."""
+        short = lambda: f"<{tag} {no}>{w(rnd.randint(1, 9))}</{tag}>"
+        return "".join(rnd.choice([f"<{tag} {no}>{link(rnd.randint(1, 6))}</{tag}>", f"<{tag} {no}>{link(2)} {link(1)}</{tag}>", short() + f"<{tag} {no}>{link(3)}</{tag}>"]) for _ in range(rnd.randint(1, 4)))
+
+    names = sorted(BOILER_WORDS)
+    out = []
+    for k in range(pages):
+        around = [rnd.randint(0, 3) for _ in range(2)]
+        if k % 4 == 0:
+            parts = lambda n: "".join(boiler(None) for _ in range(n))
+            inside = boiler(None) if rnd.random() < 0.3 else ""
+            out.append(f"{parts(around[0])}<article {yes}>{body(False)}{inside.replace('header', 'aside')}{body(False)}</article>{parts(around[1])}")
+        elif k % 4 == 1:
+            parts = lambda n: "".join(boiler(rnd.choice(names)) for _ in range(n))
+            held = rnd.choice(["<article", '<main', '<div id="content"', '<div class="post-body"'])
+            out.append(f"{parts(around[0])}{held} {yes}>{body(False)}{parts(rnd.randint(0, 1))}{body(False)}</{held[1:].split()[0]}>{parts(around[1])}")
+        elif k % 4 == 2:
+            tag = rnd.choice(["div", "td", "li"])
+            out.append(f"{lines(tag)}<div {yes}>{body(True)}</div>{lines(tag)}")
+        else:
+            out.append(f"{lines('p') if rnd.random() < 0.5 else ''}<div {yes}>{body(True)}</div>{lines('p') if rnd.random() < 0.5 else ''}")
+    return out
 
 
 def train(pages: list[str]) -> Tree:
