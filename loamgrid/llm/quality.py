@@ -27,7 +27,7 @@ rows that repeat an id are judged each; other columns pass through or are ignore
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.llm.shared import WORD, store
+from loamgrid.llm.shared import WORD, let, store
 
 SPACES = r"[\x20\x09-\x0D]+"
 PLAIN = r"[a-z\x20\x09-\x0D]+"  #: the commonest class, and what is no part of a word
@@ -41,11 +41,6 @@ LIMIT, SLACK = 0.08, 1.8
 COMMON, SAMPLE, MIN_REFERENCE_WORDS = 12, 20_000, 2000
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     """The words of a text, in order; none of a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")

@@ -11,12 +11,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN: dict[str, str] = {}
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once; a plain column would be written into a lambda and evaluated for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder; a new local one where the session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
