@@ -15,9 +15,11 @@ an empty slot, which changes no result.
 *Candidates.* 25 bands of 4 slots: a pair at the threshold is missed with a probability of 2e-6. Equal
 texts are one node from the start. In a bucket all nodes are compared with a leader, the node with most
 company over all its buckets. Buckets whose nodes are then of more than one component are gone through
-once more, every node against every other by inverted lists, and return a forest of links: no pair inside a
-component is made, and none across is left out. A large bucket is dealt in parts, and its pairs of parts
-to tasks, so that a task holds a bounded number of texts.
+once more: every node outside the bucket's largest component is compared with all nodes of other components
+by inverted lists, and a forest of links is returned. No pair inside a component is made, and none across is
+left out. Both the largest component and the rest are dealt in parts of bounded number and bytes of texts;
+a task holds one part of each, or two of the rest, so that a large component is not copied for each of its
+own parts.
 
 Defined cases: documents without words (null, empty, white space) are alone in their classes; documents
 of fewer than five words are one shingle of all their words; repeated rows, also of one doc_id, are
@@ -40,7 +42,7 @@ BANDS, BAND_ROWS = 25, 4
 SLOTS = BANDS * BAND_ROWS
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 PHASES = ((0, 5), (5, BANDS))  #: bands whose buckets are gone through together
-MAX_PART = 4000  #: nodes of a bucket's part
+MAX_PART, PART_CHARS = 4000, 16 << 20  #: nodes and characters of a bucket's part
 TOGETHER = 256  #: documents signed by one set of array operations
 
 
@@ -123,7 +125,7 @@ def text_key(text: Column) -> list[Column]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, h1, h2, bands) of every row of ``docs``; no bands without words."""
+    """(rid, doc_id, h1, h2, chars, bands) of every row of ``docs``; no bands without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 36, 0
@@ -141,9 +143,9 @@ def signed(docs: DataFrame) -> DataFrame:
                 own = [bands[place[k]] if len(bags[place[k]][0]) else None for k in keys]
                 rid = pa.array(range(base + seq, base + seq + len(keys)), pa.int64())
                 seq += len(keys)
-                yield pa.RecordBatch.from_arrays([rid, few.column(0), few.column(1), few.column(2), pa.array(own, pa.list_(pa.int64()))], ["rid", "doc_id", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([rid, few.column(0), few.column(1), few.column(2), few.column(4), pa.array(own, pa.list_(pa.int64()))], ["rid", "doc_id", "h1", "h2", "chars", "bands"])
 
-    return docs.select("doc_id", *text_key(F.col("text")), "text").mapInArrow(run, "rid long, doc_id long, h1 long, h2 long, bands array<long>")
+    return docs.select("doc_id", *text_key(F.col("text")), "text", F.length("text").cast("long").alias("chars")).mapInArrow(run, "rid long, doc_id long, h1 long, h2 long, chars long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -166,23 +168,37 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def parts_of(placed: DataFrame) -> DataFrame:
+    """(pos, band, s, t, v, root): the nodes of buckets of several roots, dealt to the tasks s, t.
+
+    The largest root's nodes are in parts s = -1, -2, ..., the others in parts 0, 1, ...; tasks are all pairs
+    of a part of the largest with one of the others, and all pairs of two of the others.
+    """
+    roots = placed.groupBy("pos", "band", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("chars").alias("x"))
+    parts = lambda c, x: F.ceil(F.greatest(c / MAX_PART, x / PART_CHARS)).cast("int")
+    buckets = roots.groupBy("pos", "band").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root", "x")).alias("m"), F.sum("c").alias("c"), F.sum("x").alias("x")).where("roots > 1")
+    buckets = buckets.select("pos", "band", F.col("m.root").alias("main"), parts(F.col("m.c"), F.col("m.x")).alias("own"), parts(F.col("c") - F.col("m.c"), F.col("x") - F.col("m.x")).alias("others"))
+    held = placed.select("pos", "band", "v", "root").join(buckets, ["pos", "band"])
+    main = held.where("root = main").withColumn("s", -1 - F.pmod(F.xxhash64("v"), F.col("own")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    rest = held.where("root <> main").withColumn("p", F.pmod(F.xxhash64("v"), F.col("others")).cast("int")).withColumn("q", F.explode(F.sequence(-F.col("own"), F.col("others") - 1))).where("p <> q")
+    rest = rest.withColumn("s", F.least("p", "q")).withColumn("t", F.greatest("p", "q"))
+    return main.unionByName(rest, True).select("pos", "band", "s", "t", "v", "root")
+
+
 def linked_in_buckets(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between nodes of different roots that share a bucket, enough of them to join what belongs together.
 
-    A bucket is one task, or, if it is large, one for each pair of its parts of ``MAX_PART`` nodes. The task
-    finds a node's common shingles with all others by an inverted list and keeps a forest, so that it
-    returns fewer links than it has nodes, though it compares all of them.
+    A task gets nodes of a bucket's largest root and of others, or of others alone (``parts_of``). It finds
+    the common shingles of each node of another root with all nodes by an inverted list and keeps a forest,
+    so that it returns fewer links than it has nodes, though it compares all of different roots.
     """
-    mixed = placed.groupBy("pos", "band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("n").alias("n")).where("x <> y").select("pos", "band", F.ceil(F.col("n") / MAX_PART).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
-    dealt = placed.select("pos", "band", "v", "root").join(mixed, ["pos", "band"]).withColumn("s", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = dealt.select("pos", "band", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"), "v", "root").join(texts, "v")
+    rows = parts_of(placed).join(texts, "v")
 
     def run(table: pa.Table) -> pa.Table:
         v, root = table.column("v").to_numpy(), table.column("root").to_numpy()
         bags = [shingles(t.as_py()) for t in table.column("text")]
-        _, group = np.unique(root, return_inverse=True)
-        forest = list(range(int(group.max()) + 1))
+        _, group, members = np.unique(root, return_inverse=True, return_counts=True)
+        forest = list(range(len(members)))
 
         def top(i: int) -> int:
             while forest[i] != i:
@@ -197,12 +213,13 @@ def linked_in_buckets(placed: DataFrame, texts: DataFrame) -> DataFrame:
         order = np.argsort(hashes, kind="stable")
         hashes, counts, owner = hashes[order], counts[order], owner[order]
         found: list[tuple[int, int]] = []
-        for i, (own, n) in enumerate(bags):
+        for i in np.flatnonzero(group != members.argmax()).tolist():
+            own, n = bags[i]
             low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
             width = high - low
             at = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
             common = np.bincount(owner[at], np.minimum(counts[at], np.repeat(n, width)), len(bags))
-            near = np.flatnonzero(common >= THRESHOLD * (totals + totals[i] - common) - 1e-9)
+            near = np.flatnonzero((common >= THRESHOLD * (totals + totals[i] - common) - 1e-9) & (group != group[i]))
             for j in near.tolist():
                 x, y = top(int(group[i])), top(int(group[j]))
                 if x != y and similarity(bags[i], bags[j]) >= THRESHOLD:
@@ -237,15 +254,15 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((rid, doc_id, h1, h2) of every row, (h1, h2, v, root, class_id, keep_doc) of every distinct text with words)."""
     rows = store(signed(docs), "signed")
-    nodes = store(rows.where("bands is not null").groupBy("h1", "h2").agg(F.min("rid").alias("v"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
-    places = nodes.select("v", F.posexplode("bands").alias("pos", "band"))
+    nodes = store(rows.where("bands is not null").groupBy("h1", "h2").agg(F.min("rid").alias("v"), F.min("doc_id").alias("doc_id"), F.first("chars").alias("chars"), F.first("bands").alias("bands")), "nodes")
+    places = nodes.select("v", "chars", F.posexplode("bands").alias("pos", "band"))
     sizes = places.groupBy("pos", "band").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least")).where("n > 1").select("pos", "band", "n")
     members = store(places.join(sizes, ["pos", "band"]), "members")
     company = store(members.groupBy("v").agg(F.sum("n").alias("company")), "company")
     members = store(members.join(company, "v"), "members")
     wanted = nodes.join(company.select("v"), "v").select("h1", "h2", F.col("doc_id").alias("_d"), "v")
     keyed = docs.select("doc_id", *text_key(F.col("text")), "text").alias("d")
-    texts = store(keyed.join(wanted.alias("w"), (F.col("d.h1") == F.col("w.h1")) & (F.col("d.h2") == F.col("w.h2")) & F.col("d.doc_id").eqNullSafe(F.col("w._d"))).select("v", "text"), "texts").dropDuplicates(["v"])
+    texts = store(keyed.join(wanted.alias("w"), (F.col("d.h1") == F.col("w.h1")) & (F.col("d.h2") == F.col("w.h2")) & F.col("d.doc_id").eqNullSafe(F.col("w._d"))).select("v", "text").dropDuplicates(["v"]), "texts")  # written, so that a hot leader's pairs can be split
     best = members.groupBy("pos", "band").agg(F.max(F.struct("company", (-F.col("v")).alias("w"))).alias("b")).select("pos", "band", (-F.col("b.w")).alias("a"))
     pairs = members.join(best, ["pos", "band"]).where("a <> v").select("a", F.col("v").alias("b")).distinct()
     tested = store(pairs, "pairs")
@@ -257,7 +274,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = components(links)
     full = nodes.select("h1", "h2", "v", "doc_id").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = full.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rows.drop("bands"), store(full.join(least, "root").select("h1", "h2", "v", "doc_id", "root", "class_id"), "classes")
+    return rows.drop("bands", "chars"), store(full.join(least, "root").select("h1", "h2", "v", "doc_id", "root", "class_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
-from itertools import combinations
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 from loamgrid.llm import near_dup as N
@@ -11,8 +13,32 @@ def bag(words):
     return np.unique(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), return_counts=True)
 
 
+def plain_bag(text):
+    """Counts of 5-word shingles, of the words themselves."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def plain_links(bags):
+    """All pairs at 0.8 or more: overlaps are added up along inverted lists."""
+    lists = defaultdict(list)
+    for i, b in enumerate(bags):
+        for g, n in b.items():
+            lists[g].append((i, n))
+    total = [sum(b.values()) for b in bags]
+    for i, b in enumerate(bags):
+        common = Counter()
+        for g, n in b.items():
+            for j, m in lists[g]:
+                if j > i:
+                    common[j] += min(n, m)
+        for j, c in common.items():
+            if 10 * c >= 8 * (total[i] + total[j] - c):
+                yield i, j
+
+
 def brute_force(rows):
-    bags = [N.shingles(t) for _, t in rows]
+    bags = [plain_bag(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def top(i):
@@ -20,15 +46,20 @@ def brute_force(rows):
             i = root[i]
         return i
 
-    for i, j in combinations(range(len(rows)), 2):
-        if len(bags[i][0]) and len(bags[j][0]) and N.similarity(bags[i], bags[j]) >= N.THRESHOLD:
-            a, b = top(i), top(j)
-            root[max(a, b)] = min(a, b)
+    for i, j in plain_links(bags):
+        a, b = top(i), top(j)
+        root[max(a, b)] = min(a, b)
     least = {}
-    for i, (d, t) in enumerate(rows):
-        if len(bags[i][0]) and d is not None:
+    for i, (d, _) in enumerate(rows):
+        if bags[i] and d is not None:
             least[top(i)] = min(least.get(top(i), d), d)
-    return sorted(((d, least.get(top(i)) if len(bags[i][0]) else d) for i, (d, _) in enumerate(rows)), key=repr)
+    return sorted(((d, least.get(top(i)) if bags[i] else d) for i, (d, _) in enumerate(rows)), key=repr)
+
+
+def test_the_whole_table_matches_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = sorted(map(tuple, N.near_duplicates(docs).collect()), key=repr)
+    assert got == brute_force([tuple(r) for r in docs.collect()])
 
 
 def test_signatures_are_unbiased_for_multisets():
@@ -54,8 +85,9 @@ def test_awkward_rows_match_brute_force(awkward):
     assert sorted(map(tuple, N.near_duplicates(awkward).collect()), key=repr) == brute_force(rows)
 
 
-def test_chains_and_large_groups_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(N, "MAX_PART", 16)
+@pytest.mark.parametrize("part", [5, 16, 4000])
+def test_chains_and_large_groups_match_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(N, "MAX_PART", part)
     rnd = random.Random(8)
     base = [f"w{rnd.randint(0, 5000)}" for _ in range(150)]
     rows = []
@@ -68,6 +100,18 @@ def test_chains_and_large_groups_match_brute_force(spark, monkeypatch):
     assert got == brute_force(rows)
 
 
+def test_tasks_of_a_bucket_meet_all_pairs_of_different_roots(spark, monkeypatch):
+    monkeypatch.setattr(N, "MAX_PART", 3)
+    roots = {v: 0 if v < 11 else v - v % 2 for v in range(18)}
+    placed = spark.createDataFrame([(0, 5, v, r, 10) for v, r in roots.items()], "pos int, band long, v long, root long, chars long")
+    tasks = defaultdict(set)
+    for r in N.parts_of(placed).collect():
+        tasks[r["s"], r["t"]].add(r["v"])
+    met = {(a, b) for vs in tasks.values() for a in vs for b in vs if a < b}
+    assert {(a, b) for b in range(18) for a in range(b) if roots[a] != roots[b]} <= met
+    assert max(map(len, tasks.values())) < 18 and sum(len([v for v in vs if v < 11]) for vs in tasks.values()) <= 11 * 3
+
+
 def test_keep_one_row_of_each_class(awkward):
     kept = N.keep_one(awkward)
     assert kept.columns == awkward.columns
