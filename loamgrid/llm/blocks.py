@@ -116,21 +116,25 @@ def partitions(blocks: DataFrame) -> int:
     return max(8, -(-total // PARTITION_BYTES))
 
 
-def ask(blocks: DataFrame, keys: Callable[[bytes], np.ndarray], n: int, name: str | None = None) -> DataFrame:
+def ask(blocks: DataFrame, keys: Callable[[bytes], np.ndarray], n: int, name: str | None = None, by: list[str] | None = None) -> DataFrame:
     """(block, p, data): what ``keys`` makes of a block, dealt by the first field modulo n. Written under a name if it is read more than once.
 
-    keys: gives a structured array, sorted by its first field, a uint64.
+    keys: gives a structured array, sorted by its first field, a uint64. by: an int column of the blocks by which the rows are filed.
     """
+    by = by or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, (block, payload) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 found = keys(payload.as_py())
                 if len(found):
-                    yield rows_of(block, deal(found, n))
+                    out = rows_of(block, deal(found, n))
+                    for k, c in enumerate(by, 2):
+                        out = out.append_column(c, pa.array([batch.column(k)[i].as_py()] * out.num_rows, pa.int32()))
+                    yield out
 
-    asked = blocks.select("block", "payload").mapInArrow(run, ASK)
-    return store(asked, name, "none") if name else asked
+    asked = blocks.select("block", "payload", *by).mapInArrow(run, ASK + "".join(f", {c} int" for c in by))
+    return store(asked, name, "none", by) if name else asked
 
 
 def deal(found: np.ndarray, n: int) -> list[np.ndarray]:

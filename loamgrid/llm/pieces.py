@@ -219,7 +219,10 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """Per document: number of ids, digests of the ids and of the decoded text, bytes that the spans cover."""
+    """Per document: number of ids, digests of the ids, of the decoded text and of the spans, bytes that the spans cover.
+
+    spans_sha256 is of begin and end of each id, in order, as 64-bit little-endian numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
@@ -230,12 +233,16 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
                 for text in few.column(1).to_pylist():
                     e = own.encode(text)
                     said = " ".join(names[e.ids])
-                    rows.append((len(e.ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(own.decode(e.ids).encode()).hexdigest(), covered(e)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
+                    rows.append((len(e.ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(own.decode(e.ids).encode()).hexdigest(), covered(e), spans_digest(e)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "spans_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long, spans_sha256 string")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
+def spans_digest(e: Encoded) -> str:
+    return hashlib.sha256(np.stack([e.begin, e.end], axis=1).astype("<i8").tobytes()).hexdigest()
 
 
 def covered(e: Encoded) -> int:

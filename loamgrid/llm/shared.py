@@ -41,10 +41,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loamgrid/{uuid.uuid4().hex}/{name}"
 
 
-def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes the frame to the shared folder and returns the reading of it."""
+def store(df: DataFrame, name: str, codec: str = "zstd", by: list[str] | None = None) -> DataFrame:
+    """Writes the frame to the shared folder, in a folder for each value of ``by``, and returns the reading of it."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).partitionBy(*by or []).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,13 +6,18 @@ places, and neighbouring windows mostly share one, so that the index holds one e
 windows with one anchor: (anchor, digest of all the words that the run covers, count).
 
 *Log structure.* Each block of documents flushes its entries as sorted arrays (level 0, one for each hash
-partition of the anchors). Runs are immutable; ``compact`` merges many into one sorted run for each
-partition. ``probe`` merge-joins the arrays of a new batch with the runs of the batches before.
+partition of the anchors). Runs are immutable; when there are more than ``FAN_IN``, ``compact`` merges them
+into one sorted run for each partition. ``probe`` merge-joins the arrays of a batch with the runs: those of
+the batches before (a new batch against history), or, once the batch itself has been appended, with all. The
+query takes its documents in ``BATCHES`` batches, appends one after the other, compacting on the way, and
+then probes them against the whole index, since the first of two equal windows is to go, too.
 
 *Verification.* An entry whose anchor occurs nowhere else holds no repeated window. An entry whose
-anchor and digest both recur is repeated from end to end. What is left are anchors that recur in
-different surroundings: for these entries alone the digests of the single windows, 128 bits of
-their very bytes, are compared in a second exchange of the same form.
+anchor and digest both recur is repeated from end to end: the two are 64 bits of different hashes, one of
+the anchor's words and one of all bytes of the run, so that a wrong match among n entries is about as
+likely as n**2 / 2**129. What is left are anchors that recur in different surroundings: for these entries
+alone the digests of the single windows, 128 bits of their very bytes, are compared in a second exchange
+of the same form.
 
 Each word covered by a repeated window goes, the first occurrence included; windows are judged on the
 input, so that no decision depends on another.
@@ -36,11 +41,11 @@ from loamgrid.llm.shared import store
 from loamgrid.llm.wordhash import bounds, gram_hashes, normalise, word_hashes
 
 SPAN, GRAM = 35, 8
-FAN_IN = 4  #: a probe sees at most so many compacted runs beside those of level 0
+FAN_IN, BATCHES = 4, 7  #: runs that a probe sees at most; batches of the query
 ENTRY = np.dtype([("v", "<u8"), ("s", "<u8"), ("n", "u1")])
 WINDOW = np.dtype([("v", "<u8"), ("s", "<u8"), ("n", "u1")])
 ALONE, WHOLE, PARTLY, PUBLISH = 0, 1, 2, 4
-LATER = -2  #: the block number of arrays of a later batch
+HISTORY = -1  #: the number of arrays that stand for a compacted run
 
 
 def anchors(grams: np.ndarray, width: int) -> np.ndarray:
@@ -179,15 +184,14 @@ class FingerprintIndex:
 
         def run(table: pa.Table) -> pa.Table:
             data = B.squeeze(merge([B.expand(x.as_py(), ENTRY, True) for x in table.column("data")]), True)
-            return pa.table({"block": pa.array([-1], pa.int64()), "p": table.column("p").slice(0, 1), "data": pa.array([data], pa.binary())})
+            return pa.table({"block": pa.array([HISTORY], pa.int64()), "p": table.column("p").slice(0, 1), "data": pa.array([data], pa.binary())})
 
         self.runs = [store(self.history().groupBy("p").applyInArrow(run, B.ASK), "run", "none")]
 
-    def probe(self, batch: DataFrame, later: list[DataFrame] = ()) -> DataFrame:
-        """Merge-join of a batch's arrays with all runs and with each other: (block, p, flags of the entries).
+    def probe(self, batch: DataFrame, appended: bool = False) -> DataFrame:
+        """Merge-join of a batch's arrays with all runs, and with each other unless the batch is part of the runs: (block, p, flags of the entries).
 
-        later: batches that came after this one; what they repeat of it is repeated, too. The windows
-        of a class are published by the first batch that has it.
+        The windows of a class are published by the first block that has it; if the batch is new, by the history.
         """
 
         def run(new: pa.Table, old: pa.Table) -> pa.Table:
@@ -195,21 +199,20 @@ class FingerprintIndex:
             new = new.take(pa.array(order))
             arrays = [B.expand(x.as_py(), ENTRY, True) for x in new.column("data")]
             runs = [B.expand(x.as_py(), ENTRY, True) for x in old.column("data")]
+            if appended:  # counted there
+                for x in arrays:
+                    x["n"] = 0
             total, places = joined([*arrays, *runs])
             flags, seen = judge(total), np.zeros(len(total), bool)
-            for number, at in zip(old.column("block").to_pylist(), places[len(arrays) :], strict=True):
-                if number != LATER:
-                    seen[at] = True
+            for at in [] if appended else places[len(arrays) :]:
+                seen[at] = True
             out = []
-            for at in places[: len(arrays)]:  # the first block that has a class publishes its windows
+            for at in places[: len(arrays)]:
                 out.append(B.squeeze(np.where(seen[at], flags[at] & ~np.uint8(PUBLISH), flags[at]).astype(np.uint8)))
                 seen[at] = True
             return pa.table({"block": new.column("block"), "p": new.column("p"), "data": pa.array(out, pa.binary())})
 
-        others = self.history()
-        for x in later:
-            others = others.unionByName(x.withColumn("block", F.lit(LATER).cast("long")))
-        return batch.groupBy("p").cogroup(others.groupBy("p")).applyInArrow(run, B.ASK)
+        return batch.groupBy("p").cogroup(self.history().groupBy("p")).applyInArrow(run, B.ASK)
 
 
 def count_windows(p: int, arrays: list[np.ndarray]) -> list[np.ndarray]:
@@ -222,26 +225,19 @@ def count_windows(p: int, arrays: list[np.ndarray]) -> list[np.ndarray]:
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, batches: int = 2, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = BATCHES, texts: bool = False) -> DataFrame:
     """Per document of ``docs`` (doc_id, text): counts and the digest of the kept words; with ``texts`` the kept text, too.
 
-    The documents come in so many batches (by a hash of their id), as they would over time: each is
-    probed against the runs of those before, and those before against it.
+    The documents come in so many batches (by a hash of their id), as they would over time.
     """
     spark = docs.sparkSession
-    group = (lambda doc: zlib.crc32(str(doc).encode()) % 4 % batches) if batches > 1 else None
-    blocks = B.in_blocks(docs, normalise, "blocks", group)
+    blocks = B.in_blocks(docs, normalise, "blocks", lambda doc: zlib.crc32(str(doc).encode()) % batches)
     n = B.partitions(blocks)
-    flushed = [B.ask(blocks.where(F.col("grp") == g), entries_of, n, "flushed") for g in range(batches)]
+    flushed = B.ask(blocks.select("block", "payload", "grp"), entries_of, n, "flushed", ["grp"])
     index = FingerprintIndex(spark, n)
-    found = []
-    for g, new in enumerate(flushed):
-        found.append(index.probe(new, flushed[g + 1 :]))
-        index.append(new)
-    flags = found[0]
-    for f in found[1:]:
-        flags = flags.unionByName(f)
-    flags = store(flags, "flags", "none")
+    for g in range(batches):
+        index.append(flushed.where(F.col("grp") == g).drop("grp"))
+    flags = store(index.probe(flushed.drop("grp"), appended=True), "flags", "none")
 
     def windows(block: int, payload: bytes, got: dict[int, bytes]) -> pa.Table:
         own = Block(payload)

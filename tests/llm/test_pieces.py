@@ -36,6 +36,31 @@ def test_spans_hold_the_pieces(codec):
     assert said == text
 
 
+def plain_spans(library, text):
+    """Source bytes of each piece, from the library's pieces alone: each stands for its text, an escape for a space, the first for nothing."""
+    out, at, first = [], 0, True
+    for i in library.encode(text):
+        piece = library.id_to_piece(i)
+        n = 1 if library.is_byte(i) else len(piece.replace("▁", " ").encode()) - (first and piece.startswith("▁"))
+        out.append((at, at + n))
+        at, first = at + n, False
+    return [*out, (at, at)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab the\né日🎉.<s>0x\t")), min_size=1, max_size=60))
+def test_spans_are_those_of_the_pieces(text):
+    e = P.codec(MODEL).encode(text)
+    assert list(zip(e.begin.tolist(), e.end.tolist(), strict=True)) == plain_spans(P.codec(MODEL).library, text)
+
+
+def test_the_spans_digest_is_of_the_spans(spark):
+    text = "Hello  wörld\n日本 the end"
+    row = P.digests(spark.createDataFrame([(1, text)], "doc_id long, text string"), MODEL).first()
+    raw = b"".join(n.to_bytes(8, "little") for span in plain_spans(P.codec(MODEL).library, text) for n in span)
+    assert row["spans_sha256"] == hashlib.sha256(raw).hexdigest()
+
+
 def test_normaliser_agrees_with_the_library_where_the_map_replaces():
     own = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True)
     proto = sentencepiece_model_pb2.ModelProto()

@@ -27,11 +27,19 @@ def brute_force(rows):
 
 def test_awkward_rows_match_brute_force(awkward):
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
-    for batches in (1, 2):
+    for batches in (1, S.BATCHES):
         got = sorted(map(tuple, S.dedup(awkward, batches).collect()), key=repr)
         assert got == brute_force(rows)
 
 
+def test_the_query_probes_compacted_runs(awkward, monkeypatch):
+    runs, compactions, probe, compact = [], [], S.FingerprintIndex.probe, S.FingerprintIndex.compact
+    monkeypatch.setattr(S.FingerprintIndex, "probe", lambda self, *a, **k: (runs.append(len(self.runs)), probe(self, *a, **k))[1])
+    monkeypatch.setattr(S.FingerprintIndex, "compact", lambda self: (compactions.append(len(self.runs)), compact(self))[1])
+    S.dedup(awkward).count()
+    assert compactions == [S.FAN_IN + 1] and runs == [S.BATCHES - S.FAN_IN]
+
+
 def test_empty_table(nothing):
     assert S.dedup(nothing).count() == 0
 
