@@ -37,9 +37,8 @@ ANY = "<*>"
 
 def masked(line: Column) -> Column:
     """Tokens joined by one space, those with digits as ``<*>``; of one or two that all hold digits, the tokens themselves."""
-    plain = F.trim(F.regexp_replace(line, SPACES, " "))
-    m = F.regexp_replace(plain, FIELD, ANY)
-    return F.when(m.isin(ANY, f"{ANY} {ANY}"), plain).otherwise(m)
+    named = lambda plain: let(F.regexp_replace(plain, FIELD, ANY), lambda m: F.when(m.isin(ANY, f"{ANY} {ANY}"), plain).otherwise(m))
+    return let(F.trim(F.regexp_replace(line, SPACES, " ")), named)
 
 
 def line_hash(m: Column) -> Column:
@@ -48,8 +47,8 @@ def line_hash(m: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, h, pos, leaf, mh) of every line with a token."""
-    found = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    tokens = found.select("doc_id", "h", "pos", masked(F.col("line")).alias("m")).where("m <> ''").withColumn("t", F.split("m", " "))
+    found = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    tokens = found.select("doc_id", "h", "pos", masked(F.col("line")).alias("m")).withColumn("t", F.split("m", " "))
     return tokens.select("doc_id", "h", "pos", F.xxhash64(F.size("t"), *[F.get("t", F.lit(i)) for i in range(LEAD)]).alias("leaf"), line_hash(F.col("m")).alias("mh"))
 
 
