@@ -124,6 +124,25 @@ def st_kind(wkb: Column) -> Column:
     return names[code]
 
 
+def _type_code(wkb: Column) -> Column:
+    """The unsigned type code behind the byte order."""
+    big = F.hex(F.substring(wkb, 2, 4))
+    own = F.when(F.hex(F.substring(wkb, 1, 1)) == "01", F.concat(*[F.substring(big, 7 - 2 * i, 2) for i in range(4)])).otherwise(big)
+    return F.conv(own, 16, 10).cast("long")
+
+
+def st_has_z(wkb: Column) -> Column:
+    """Natively from the type code: thousands of 1 or 3, or the top flag."""
+    code = _type_code(wkb)
+    return code.bitwiseAND(F.lit(1 << 31)).cast("boolean") | F.floor(code.bitwiseAND(F.lit(0xFFFF)) / 1000).isin(1, 3)
+
+
+def st_has_m(wkb: Column) -> Column:
+    """Natively from the type code: thousands of 2 or 3, or the flag below the top."""
+    code = _type_code(wkb)
+    return code.bitwiseAND(F.lit(1 << 30)).cast("boolean") | F.floor(code.bitwiseAND(F.lit(0xFFFF)) / 1000).isin(2, 3)
+
+
 def st_coord_count(wkb: Column) -> Column:
     return _count(wkb)
 

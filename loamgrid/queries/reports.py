@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import affine as A
 from loamgrid.functions import geometry as G
-from loamgrid.functions import index as I
 from loamgrid.functions import measure as M
 from loamgrid.functions import schema as X
 from loamgrid.functions import tiles as T
@@ -17,8 +16,8 @@ from loamgrid.operators import profile as P
 from loamgrid.operators import raster as R
 from loamgrid.operators import spatial_join as J
 from loamgrid.operators import vector_tiles as VT
-from loamgrid.queries.base import BXS, PTS, PXS, boxes, hilbert_sql, pixels, points, q, query, sq, table
-from loamgrid.queries.places import GRID, Z10
+from loamgrid.queries.base import BXS, PTS, PXS, boxes, pixels, points, q, query, sq, table
+from loamgrid.queries.places import Z10
 from loamgrid.sources import geojson, geoparquet, geotiff, pmtiles
 from loamgrid.sources.files import local_path, scratch
 from loamgrid.streaming import windows as W
@@ -119,14 +118,6 @@ def src52_geotiff_roundtrip(spark: S, sf: str) -> DataFrame:
     return p.select(F.col("column").alias("c"), F.col("row").alias("r"), F.col("value").cast("long").alias("v"))
 
 
-@query()
-def ras21_warp(spark: S, sf: str) -> DataFrame:
-    """The raster in Web Mercator; no SQL."""
-    grid = R.target_grid((0.0, 1.0, 0.0, 64.0, 0.0, -1.0), 64, 64, 4326, 3857, 64)
-    p = R.pixels(R.warp(raster(spark, sf), 4326, 3857, grid, "nearest", -1.0, 32))
-    return p.select(F.col("column").alias("c"), F.col("row").alias("r"), q(F.col("value")).alias("v"))
-
-
 def _local(spark: S, name: str) -> str:
     """A place for one file: the shared folder if it is a path, else a folder of the driver."""
     path = local_path(scratch(spark, name))
@@ -138,16 +129,6 @@ def _local(spark: S, name: str) -> str:
 
 # --- archives
 
-CONTENT = "(SELECT o_orderkey AS id, o_orderkey // 4 % 10 AS content FROM orders)"
-
-
-@query(f"SELECT min(id) AS tile_id, count(*) AS run, content FROM (SELECT id, content, id - row_number() OVER (PARTITION BY content ORDER BY id) AS g FROM {CONTENT}) GROUP BY content, g")
-def snk24_run_merge(spark: S, sf: str) -> DataFrame:
-    """Neighbouring tile ids of the same content as one entry."""
-    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.expr("o_orderkey div 4") % 10).alias("content"))
-    g = t.withColumn("g", F.col("id") - F.row_number().over(Window.partitionBy("content").orderBy("id")))
-    return g.groupBy("content", "g").agg(F.min("id").alias("tile_id"), F.count(F.lit(1)).alias("run")).select("tile_id", "run", "content")
-
 
 @query("SELECT content, \"first\", length, CAST(coalesce(sum(length) OVER (ORDER BY \"first\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT o_custkey AS content, min(o_orderkey) AS \"first\", CAST(any_value(o_custkey % 97 + 1) AS BIGINT) AS length FROM orders GROUP BY o_custkey)")
 def snk25_offsets(spark: S, sf: str) -> DataFrame:
@@ -156,13 +137,6 @@ def snk25_offsets(spark: S, sf: str) -> DataFrame:
     return pmtiles.with_offsets(c).select("content", "first", "length", "offset")
 
 
-@query("SELECT i // 4096 AS leaf, count(*) AS n, min(id) AS first_id FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) GROUP BY 1")
-def snk26_leaf_split(spark: S, sf: str) -> DataFrame:
-    """Entries by leaf: their numbers come from the same distributed sums as offsets."""
-    t = pmtiles.with_offsets(table(spark, sf, "orders").select(F.col("o_orderkey").alias("first"), F.lit(1).cast("long").alias("length")))
-    return t.groupBy(F.expr("offset div 4096").alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first_id"))
-
-
 @query(f"SELECT CAST(10 AS INT) AS z, x, y, count(*) AS n_features FROM {Z10} GROUP BY x, y")
 def til11_vector_tiles(spark: S, sf: str) -> DataFrame:
     """Points encoded by tile: features of each."""
@@ -251,14 +225,6 @@ def snk11_empty_to_null(spark: S, sf: str) -> DataFrame:
     return out.select("k", q(F.col("xmin"), 1e3).alias("x"), F.col("geometry").isNull().alias("none"))
 
 
-@query(f"SELECT k, CAST(row_number() OVER (ORDER BY d, k) AS BIGINT) AS place FROM {hilbert_sql(GRID, 'qx', 'qy', 16, 'k')}")
-def job4_optimize_order(spark: S, sf: str) -> DataFrame:
-    """Places in Hilbert order; numbers from distributed sums, not from one task."""
-    key = I.hilbert_key(F.col("lng"), F.col("lat"), tuple(F.lit(v) for v in (-180.0, -85.0, 180.0, 85.0)))
-    p = points(spark, sf).select("k", (key * F.lit(1 << 30) + F.col("k")).alias("first"), F.lit(1).cast("long").alias("length"))
-    return pmtiles.with_offsets(p).select("k", (F.col("offset") + 1).alias("place"))
-
-
 # --- extensions: joins, windows, sets
 
 CITY = "(SELECT c_custkey AS id, ((c_custkey*3571+17) % 360000)/1e3 - 180e0 AS xmin, ((c_custkey*1299+3) % 170000)/1e3 - 85e0 AS ymin, ((c_custkey*3571+17) % 360000)/1e3 - 177e0 AS xmax, ((c_custkey*1299+3) % 170000)/1e3 - 83e0 AS ymax FROM customer)"

@@ -2,6 +2,8 @@
 
 import struct
 
+import numpy as np
+
 from loamgrid.core.errors import Malformed
 
 
@@ -57,6 +59,23 @@ class Cursor:
                 raise self.error("a number of more than 64 bits")
         return sign * out
 
+    def varints(self, n: int) -> np.ndarray:
+        """The next n of them at once: bytes are cut behind each one below 128 and added up in their places."""
+        raw = np.frombuffer(self.data, np.uint8, offset=self.at)
+        ends = np.flatnonzero(raw < 0x80)[:n]
+        if len(ends) < n:
+            raise self.error(f"{n} numbers wanted at {self.at}, {len(ends)} there")
+        if not n:
+            return np.zeros(0, np.int64)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        place = np.arange(ends[-1] + 1) - np.repeat(starts, ends - starts + 1)
+        if place.max() > 9:
+            raise self.error("a number of more than 64 bits")
+        used = raw[: ends[-1] + 1].astype(np.int64)
+        bits = np.where(place == 0, used & 0x3F, (used & 0x7F) << np.maximum(7 * place - 1, 0))
+        self.at += int(ends[-1]) + 1
+        return np.add.reduceat(bits, starts) * np.where(used[starts] & 0x40, -1, 1)
+
     def text(self, n: int, coding: str) -> str:
         try:
             return self.take(n).decode(coding)
@@ -73,5 +92,11 @@ def varuint(n: int) -> bytes:
     return bytes(out)
 
 
+def varint(n: int) -> bytes:
+    """Six bits and the sign in the first byte, seven bits in each other."""
+    a = abs(n)
+    return varuint(a << 1 & ~0x7F | a & 0x3F | (0x40 if n < 0 else 0))
+
+
 def zigzag(n: int) -> int:
     return n << 1 ^ n >> 63 if n >= 0 else (-n << 1) - 1

@@ -269,7 +269,7 @@ def shape(blob: bytes, meta: GeometryMeta) -> G.Geometry:
     counts = [c.varuint() for _ in range(parts - 1)]
     if sum(counts) > n:
         raise GdbError("parts have more vertices than the shape")
-    steps = np.array([c.varint() for _ in range(2 * n)], np.int64).reshape(-1, 2)
+    steps = c.varints(2 * n).reshape(-1, 2)
     xy = np.cumsum(steps, axis=0) / meta.scale + (meta.x, meta.y)
     if kind in MULTIPOINTS:
         return G.Geometry(G.MULTIPOINT, xy)

@@ -11,10 +11,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loamgrid.core import geometry as G
-from loamgrid.core.errors import ConvertError, GdbError, GeoJsonError, ImageError, LayerAmbiguous, PmTilesError, SchemaError, ShapefileError, TiffError, TileError, Unsupported
+from loamgrid.core.errors import ConvertError, GdbError, GeoJsonError, ImageError, LayerAmbiguous, Malformed, PmTilesError, SchemaError, ShapefileError, TiffError, TileError, Unsupported
 from loamgrid.functions.geometry import st_point
 from loamgrid.operators import vector_tiles as V
-from loamgrid.sources import filegdb, files, geojson, geoparquet, geotiff, images, pmtiles, shapefile
+from loamgrid.sources import binary, filegdb, files, geojson, geoparquet, geotiff, images, pmtiles, shapefile
 from loamgrid.sources.binary import Cursor, varuint, zigzag
 
 
@@ -315,6 +315,17 @@ def test_filegdb_layers_and_errors(tmp_path):
         filegdb.shape(varuint(3) + varuint(2) + varuint(2) + bytes(4) + varuint(9), meta)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(-(2**62), 2**62), max_size=20))
+def test_signed_integers_at_once(values):
+    data = b"".join(signed(v) for v in values)
+    assert data == b"".join(map(binary.varint, values))
+    c = binary.Cursor(data + b"\x07")
+    assert c.varints(len(values)).tolist() == values and c.left == 1
+    with pytest.raises(Malformed):
+        binary.Cursor(data).varints(len(values) + 1)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(-(2**62), 2**62))
 def test_integers_on_the_wire(n):
