@@ -9,15 +9,16 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamgrid.core import geometry as G
+from loamgrid.core import wkbarray as W
 from loamgrid.functions.crs import is_identity, projection, transform_array
 
 BBOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin", "xmax", "ymax")])
-POINT_HEAD = np.frombuffer(b"\x01\x01\x00\x00\x00", np.uint8)
 
 
 def _each(s: pd.Series, f) -> pd.Series:
@@ -31,61 +32,62 @@ def _of_geometry(f, kind: T.DataType):
     return F.pandas_udf(run, kind)
 
 
-def points_of(values: list[bytes]) -> np.ndarray | None:
-    """(n, 2) coordinates if all are little-endian points, by one reshape."""
-    if not values or any(len(v) != 21 for v in values):
-        return None
-    raw = np.frombuffer(b"".join(values), np.uint8).reshape(-1, 21)
-    return raw[:, 5:].copy().view("<f8") if (raw[:, :5] == POINT_HEAD).all() else None
+def _measured(of_flat, of_geometry, kind: pa.DataType):
+    """An Arrow function over WKB: flat arrays for plain rows, one by one for the others."""
 
+    def run(wkb: pa.Array) -> pa.Array:
+        out = []
+        for part in W.slices(wkb):
+            flat = W.Flat(part)
+            values = of_flat(flat)
+            for i in flat.others.tolist():
+                values[i] = of_geometry(flat.bytes_of(i))
+            out.append(pa.array(values, kind, mask=~flat.valid))
+        return pa.concat_arrays(out)
 
-def bbox_of(values: list[bytes | None]) -> pd.DataFrame:
-    good = [i for i, v in enumerate(values) if v is not None]
-    out = np.full((len(values), 4), np.nan)
-    xy = points_of([bytes(values[i]) for i in good])
-    if xy is not None:
-        xy = np.where(np.isfinite(xy).all(axis=1)[:, None], xy, np.nan)
-        out[good] = np.hstack([xy, xy])
-    else:
-        for i in good:
-            box = G.bbox_from_wkb(bytes(values[i]))
-            if box:
-                out[i] = box
-    return pd.DataFrame(out, columns=["xmin", "ymin", "xmax", "ymax"])
+    return run
 
 
-@F.pandas_udf(BBOX)
-def _bbox(s: pd.Series) -> pd.DataFrame:
-    return bbox_of(list(s))
+def bbox_of(wkb: pa.Array) -> np.ndarray:
+    """(rows, 4); NaN for null, for no finite vertex and for bytes that are no geometry."""
+    out = []
+    for part in W.slices(wkb):
+        flat = W.Flat(part)
+        boxes = flat.boxes()
+        for i in flat.others.tolist():
+            boxes[i] = G.bbox_from_wkb(flat.bytes_of(i)) or np.nan
+        out.append(boxes)
+    return np.concatenate(out)
+
+
+@F.arrow_udf(BBOX)
+def _bbox(wkb: pa.Array) -> pa.Array:
+    boxes = bbox_of(wkb)
+    return pa.StructArray.from_arrays([pa.array(c) for c in boxes.T.copy()], BBOX.fieldNames(), mask=pa.array(np.isnan(boxes[:, 0])))
 
 
 def st_bbox(wkb: Column) -> Column:
     """struct<xmin, ymin, xmax, ymax>; null without a finite vertex."""
-    box = _bbox(wkb)
-    return F.when(~F.isnan(F.coalesce(box["xmin"], F.lit(float("nan")))), box)
+    return _bbox(wkb)
 
 
-@F.pandas_udf(T.BinaryType())
-def _point(x: pd.Series, y: pd.Series) -> pd.Series:
-    raw = np.empty((len(x), 21), np.uint8)
-    raw[:, :5] = POINT_HEAD
-    raw[:, 5:] = np.column_stack([x.to_numpy(np.float64), y.to_numpy(np.float64)]).astype("<f8").view(np.uint8).reshape(len(x), 16)
-    flat = raw.tobytes()
-    return pd.Series([flat[21 * i : 21 * i + 21] for i in range(len(x))])
+@F.arrow_udf(T.BinaryType())
+def _point(x: pa.Array, y: pa.Array) -> pa.Array:
+    return W.points(x, y)
 
 
 def st_point(x: Column, y: Column) -> Column:
-    return F.when(x.isNotNull() & y.isNotNull(), _point(x, y))
+    return _point(x.cast("double"), y.cast("double"))
 
 
-@F.pandas_udf(T.BinaryType())
-def _line(s: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else G.to_wkb(G.Geometry(G.LINESTRING, G.array([(p["x"], p["y"]) for p in v]))) for v in s], dtype=object)
+@F.arrow_udf(T.BinaryType())
+def _line(lists: pa.Array) -> pa.Array:
+    return W.lines(lists)
 
 
-@F.pandas_udf(T.BinaryType())
-def _polygon(s: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else G.to_wkb(G.Geometry(G.POLYGON, [G.array([(p["x"], p["y"]) for p in r]) for r in v])) for v in s], dtype=object)
+@F.arrow_udf(T.BinaryType())
+def _polygon(lists: pa.Array) -> pa.Array:
+    return W.polygons(lists)
 
 
 def st_line(points: Column) -> Column:
@@ -99,10 +101,10 @@ def st_polygon(rings: Column) -> Column:
 
 POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 _kind = _of_geometry(lambda g: g.name, T.StringType())
-_count = _of_geometry(G.coord_count, T.IntegerType())
-_empty = _of_geometry(G.is_empty, T.BooleanType())
-_area = _of_geometry(G.area, T.DoubleType())
-_length = _of_geometry(G.length, T.DoubleType())
+_count = F.arrow_udf(_measured(W.Flat.counts, lambda b: G.coord_count(G.from_wkb(b)), pa.int32()), T.IntegerType())
+_empty = F.arrow_udf(_measured(lambda f: f.first_counts() == 0, lambda b: G.is_empty(G.from_wkb(b)), pa.bool_()), T.BooleanType())
+_area = F.arrow_udf(_measured(W.Flat.areas, lambda b: G.area(G.from_wkb(b)), pa.float64()), T.DoubleType())
+_length = F.arrow_udf(_measured(W.Flat.lengths, lambda b: G.length(G.from_wkb(b)), pa.float64()), T.DoubleType())
 _geojson = _of_geometry(lambda g: json.dumps(G.to_geojson(g), separators=(",", ":")), T.StringType())
 _normal = _of_geometry(G.to_wkb, T.BinaryType())
 _points = _of_geometry(lambda g: [{"x": x, "y": y} for x, y in G.coordinates(g).tolist()], POINTS)
@@ -183,18 +185,20 @@ def st_transform(wkb: Column, source: int, target: int) -> Column:
     if is_identity(source, target):
         return wkb
 
-    def run(s: pd.Series) -> pd.Series:
-        good = [i for i, v in enumerate(s) if v is not None]
-        out = pd.Series([None] * len(s), dtype=object)
-        xy = points_of([bytes(s.iloc[i]) for i in good])
-        if xy is not None:
-            moved = transform_array(xy, source, target)
-            for i, p in zip(good, moved, strict=True):
-                out[i] = bytes(POINT_HEAD) + p.astype("<f8").tobytes()
-            return out
-        return _each(s, lambda b: G.to_wkb(G.with_coordinates(G.from_wkb(b), lambda p: transform_array(p, source, target))))
-
-    return F.pandas_udf(run, T.BinaryType())(wkb)
+    change = lambda p: transform_array(p, source, target)
+
+    def run(wkb: pa.Array) -> pa.Array:
+        out = []
+        for part in W.slices(wkb):
+            flat = W.Flat(part)
+            moved = flat.moved(change)
+            rows = [None if not v else moved[a:b].tobytes() for v, a, b in zip(flat.valid.tolist(), flat.starts.tolist(), flat.ends.tolist(), strict=True)]
+            for i in flat.others.tolist():
+                rows[i] = G.to_wkb(G.with_coordinates(G.from_wkb(flat.bytes_of(i)), change))
+            out.append(pa.array(rows, pa.binary()))
+        return pa.concat_arrays(out)
+
+    return F.arrow_udf(run, T.BinaryType())(wkb)
 
 
 def st_simplify(wkb: Column, tolerance: float | Column) -> Column:

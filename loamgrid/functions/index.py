@@ -1,7 +1,8 @@
 """Ordering keys: quantising, Hilbert distances and tile ids, as column expressions.
 
-The curve is walked by an aggregate over the bit positions; its state is one struct. Keys that cannot be
-computed are null and sort last.
+Over a grid of a fixed order the curve is walked in compiled arithmetic, a lookup in one 64-bit number for
+each bit; where the order is a column, by an aggregate over the bit positions. Keys that cannot be computed
+are null and sort last.
 """
 
 from pyspark.sql import Column
@@ -15,7 +16,9 @@ MAX_ZOOM = 31
 
 def hilbert(x: Column, y: Column, order: int | Column = ORDER) -> Column:
     """Distance along the Hilbert curve over a grid of 2**order cells to a side."""
-    n = F.lit(order) if isinstance(order, int) else order
+    if isinstance(order, int):
+        return _compiled(x, y, order)
+    n = order
     start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
 
     def step(s: Column, k: Column) -> Column:
@@ -33,6 +36,33 @@ def hilbert(x: Column, y: Column, order: int | Column = ORDER) -> Column:
     return F.aggregate(bits, start, step, lambda s: s["d"])
 
 
+def _turns() -> int:
+    """For each of four states of the curve and each pair of bits, four bits: the quadrant's place and the next state.
+
+    A state says whether the coordinates below are complemented (2) and exchanged (1).
+    """
+    out = 0
+    for state in range(4):
+        for bits in range(4):
+            rx, ry = (bits >> 1) ^ (state >> 1), (bits & 1) ^ (state >> 1)
+            rx, ry = (ry, rx) if state & 1 else (rx, ry)
+            below = state if ry else state ^ (2 * rx) ^ 1
+            out |= ((3 * rx ^ ry) << 2 | below) << 4 * (4 * state + bits)
+    return out - (1 << 64) if out >> 63 else out
+
+
+def _compiled(x: Column, y: Column, order: int) -> Column:
+    """The same for a fixed order; null if a coordinate is."""
+    turns, total = F.lit(_turns()).cast("long"), F.lit(0).cast("long")
+    bit = lambda v, k: F.shiftright(v.cast("long"), k).bitwiseAND(F.lit(1).cast("long")).cast("int")
+    state = F.lit(0)
+    for k in range(order - 1, -1, -1):
+        found = F.call_function("shiftrightunsigned", turns, state * 16 + bit(x, k) * 8 + bit(y, k) * 4).bitwiseAND(F.lit(15).cast("long"))
+        total = total + F.shiftleft(F.shiftright(found, 2), 2 * k)
+        state = found.bitwiseAND(F.lit(3).cast("long")).cast("int")
+    return total + (x.cast("long") + y.cast("long")) * 0
+
+
 def hilbert_inverse(d: Column, order: Column) -> Column:
     """struct<x, y> of a distance."""
     start = F.struct(d.cast("long").alias("t"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
@@ -60,7 +90,7 @@ def quantize(v: Column, low: Column, high: Column, order: int = ORDER) -> Column
 def hilbert_key(x: Column, y: Column, extent: tuple[Column, Column, Column, Column], order: int = ORDER) -> Column:
     """The key of a point in an extent; null, so last, where either coordinate has no place."""
     qx, qy = quantize(x, extent[0], extent[2], order), quantize(y, extent[1], extent[3], order)
-    return F.when(qx.isNotNull() & qy.isNotNull(), hilbert(qx, qy, order))
+    return hilbert(qx, qy, order)
 
 
 def _below(z: Column) -> Column:

@@ -23,7 +23,7 @@ from loamgrid.functions import crs as C
 from loamgrid.functions.geometry import st_bbox
 from loamgrid.functions.index import ORDER, hilbert_key
 from loamgrid.functions.measure import BOX, union_bbox
-from loamgrid.sources.files import local_path
+from loamgrid.sources.files import local_path, scratch
 
 #: Names that geometry columns go by, in the order they are looked for.
 GEOMETRY_NAMES = ("geometry", "geom", "SHAPE", "wkb_geometry", "the_geom", "shape")
@@ -145,13 +145,17 @@ def layout(df: DataFrame, geometry: str | None = None, keep_name: bool = False,
 def hilbert_sorted(df: DataFrame, files: int | None = None) -> DataFrame:
     """Rows with covering columns in the order of their centres along the curve over the whole extent.
 
-    Ranges, then a sort inside each, both of which spill; rows without a box come last. A degenerate
-    extent leaves the order as it was.
+    The rows are written once, since extent, ranges and sort read them three times. Ranges, then a sort inside
+    each, both of which spill; rows without a box come last. A degenerate extent leaves the order as it was.
     """
-    row = df.agg(*union_bbox()).first()
+    spark, path = df.sparkSession, scratch(df.sparkSession, "layout")
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    own = spark.read.schema(numbered.schema).parquet(path)
+    row = own.agg(*union_bbox()).first()
     side = [F.lit(v) for v in row] if row[0] is not None else [F.lit(None).cast("double")] * 4
     key = hilbert_key((F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2, tuple(side), ORDER)
-    with_key = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_h", F.coalesce(key, F.lit(1 << 32)))
+    with_key = own.withColumn("_h", F.coalesce(key, F.lit(1 << 32)))
     n = files or max(1, df.rdd.getNumPartitions())
     return with_key.repartitionByRange(n, "_h", "_row").sortWithinPartitions("_h", "_row").drop("_h", "_row")
 
