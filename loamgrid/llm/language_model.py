@@ -42,6 +42,7 @@ TOKEN = np.uint64(1 << 63)  #: the top bit of a token's key is set, that of a bi
 END, BEGIN = np.uint64(0xEA09E667F3BCC909), np.uint64(0x3B67AE8584CAA73B)
 PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 ASKED = np.dtype([("v", "<u8"), ("n", "<u4"), ("m", "<u4")])  #: key, training count, count in deleted documents
+WIDE = np.dtype([("v", "<u8"), ("n", "<u8"), ("m", "<u8")])  #: the same of many blocks
 TOTAL = np.dtype([("n", "<u8"), ("m", "<u8")])
 
 
@@ -105,18 +106,25 @@ def asked_of(payload: bytes) -> np.ndarray:
     return Tokens(payload).asked()
 
 
+def summed(arrays: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct keys with the sums of their counts, and each array's places among them."""
+    keys, place = np.unique(np.concatenate([a["v"] for a in arrays]), return_inverse=True)
+    total = np.zeros(len(keys), WIDE)
+    total["v"] = keys
+    for f in ("n", "m"):
+        np.add.at(total[f], place, np.concatenate([a[f] for a in arrays]).astype(np.uint64))
+    return total, np.split(place, np.cumsum([len(a) for a in arrays])[:-1])
+
+
 def add_up(p: int, arrays: list[np.ndarray]) -> list[np.ndarray]:
     """For each block the corpus counts of its keys; last, the sums of the partition's tokens (see ``Vocabulary``)."""
-    v = np.concatenate([a["v"] for a in arrays])
-    keys, place = np.unique(v, return_inverse=True)
-    total = np.zeros(len(keys), TOTAL)
-    for f in ("n", "m"):
-        total[f] = np.bincount(place, np.concatenate([a[f] for a in arrays]), len(keys)).astype(np.uint64)
-    cuts = np.cumsum([len(a) for a in arrays])[:-1]
-    token = keys >= TOKEN
+    total, places = summed(arrays)
+    token = total["v"] >= TOKEN
     kept = total["n"][token] - total["m"][token]
     sums = np.array([total["n"][token].sum(), (total["n"][token] > 0).sum(), kept.sum(), (kept > 0).sum()], np.int64)
-    return [*(total[x] for x in np.split(place, cuts)), sums]
+    counts = np.empty(len(total), TOTAL)
+    counts["n"], counts["m"] = total["n"], total["m"]
+    return [*(counts[x] for x in places), sums]
 
 
 class Vocabulary:
@@ -172,10 +180,12 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def scores(docs: DataFrame) -> DataFrame:
     """The scores of every document of ``docs`` (doc_id, text)."""
     blocks = B.in_blocks(docs, lowered, "blocks", part_of)
-    n = B.partitions(blocks)
-    asked = B.ask(blocks, asked_of, n)
-    answers = B.answer(asked, add_up, ASKED, "counts")
+    ladder = B.Ladder(blocks)
+    n, one = ladder.first, len(ladder.parts) == 1
+    levels = ladder.up(B.ask(blocks, asked_of, n, None if one else "asked"), summed, ASKED, WIDE)
+    answers = B.answer(levels[-1], add_up, ASKED if one else WIDE, "counts")
     size = vocabulary(answers)
+    answers = ladder.down(answers, levels, summed, TOTAL, ASKED, WIDE)
 
     def histogram(block: int, payload: bytes, got: dict[int, bytes]) -> pa.Table:
         t = Tokens(payload)

@@ -158,11 +158,20 @@ def judge(total: np.ndarray) -> np.ndarray:
     return np.where(whole, np.where(several, WHOLE | PUBLISH, WHOLE), np.where(several, PARTLY, ALONE)).astype(np.uint8)
 
 
+def published_once(flags: np.ndarray, places: list[np.ndarray]) -> list[np.ndarray]:
+    """Each asker's flags; PUBLISH goes to the first that has an entry."""
+    left, out = flags.copy(), []
+    for at in places:
+        out.append(left[at])
+        left[at] &= ~np.uint8(PUBLISH)
+    return out
+
+
 class FingerprintIndex:
     """Sorted immutable runs of past batches: rows (block or run, p, data)."""
 
-    def __init__(self, spark, n: int):
-        self.spark, self.n = spark, n
+    def __init__(self, spark):
+        self.spark = spark
         self.runs: list[DataFrame] = []
 
     def append(self, flushed: DataFrame) -> None:
@@ -203,13 +212,10 @@ class FingerprintIndex:
                 for x in arrays:
                     x["n"] = 0
             total, places = joined([*arrays, *runs])
-            flags, seen = judge(total), np.zeros(len(total), bool)
+            flags = judge(total)
             for at in [] if appended else places[len(arrays) :]:
-                seen[at] = True
-            out = []
-            for at in places[: len(arrays)]:
-                out.append(B.squeeze(np.where(seen[at], flags[at] & ~np.uint8(PUBLISH), flags[at]).astype(np.uint8)))
-                seen[at] = True
+                flags[at] &= ~np.uint8(PUBLISH)
+            out = [B.squeeze(x) for x in published_once(flags, places[: len(arrays)])]
             return pa.table({"block": new.column("block"), "p": new.column("p"), "data": pa.array(out, pa.binary())})
 
         return batch.groupBy("p").cogroup(self.history().groupBy("p")).applyInArrow(run, B.ASK)
@@ -232,21 +238,23 @@ def dedup(docs: DataFrame, batches: int = BATCHES, texts: bool = False) -> DataF
     """
     spark = docs.sparkSession
     blocks = B.in_blocks(docs, normalise, "blocks", lambda doc: zlib.crc32(str(doc).encode()) % batches)
-    n = B.partitions(blocks)
-    flushed = B.ask(blocks.select("block", "payload", "grp"), entries_of, n, "flushed", ["grp"])
-    index = FingerprintIndex(spark, n)
+    ladder = B.Ladder(blocks)
+    n = ladder.first
+    levels = ladder.up(B.ask(blocks.select("block", "payload", "grp"), entries_of, n, "flushed", ["grp"]), joined, ENTRY, by="grp")
+    index = FingerprintIndex(spark)
     for g in range(batches):
-        index.append(flushed.where(F.col("grp") == g).drop("grp"))
-    flags = store(index.probe(flushed.drop("grp"), appended=True), "flags", "none")
+        index.append(levels[-1].where(F.col("grp") == g).drop("grp"))
+    flags = store(index.probe(levels[-1].drop("grp"), appended=True), "flags", "none")
+    flags = ladder.down(flags, levels, joined, np.dtype(np.uint8), ENTRY, by="grp", share=published_once)
 
     def windows(block: int, payload: bytes, got: dict[int, bytes]) -> pa.Table:
         own = Block(payload)
         _, _, asked = own.windows(B.replies(got, own.entries, n, np.uint8))
         asked = distinct(asked["v"], asked["s"], asked["n"])[0]
-        return pa.Table.from_batches([B.rows_of(block, B.deal(asked, n))])
+        return pa.Table.from_batches([B.rows_of(block, B.deal(asked, 1, n))])
 
-    compared = store(B.meet(blocks, flags, n, windows, B.ASK), "windows", "none")
-    verdicts = B.answer(compared, count_windows, WINDOW, "verdicts")
+    levels = ladder.up(store(B.meet(blocks, flags, n, windows, B.ASK), "windows", "none"), joined, WINDOW)
+    verdicts = ladder.down(B.answer(levels[-1], count_windows, WINDOW, "verdicts"), levels, joined, np.dtype(np.uint8), WINDOW)
     both = flags.unionByName(verdicts.withColumn("p", F.col("p") + n))
 
     def cut(block: int, payload: bytes, got: dict[int, bytes]) -> pa.Table:

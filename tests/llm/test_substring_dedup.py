@@ -32,6 +32,15 @@ def test_awkward_rows_match_brute_force(awkward):
         assert got == brute_force(rows)
 
 
+def test_levels_change_no_result(awkward, monkeypatch):
+    monkeypatch.setattr(B, "PARTITION_BYTES", 15_000)
+    monkeypatch.setattr(B, "FAN", 3)
+    docs = awkward.repartition(12)
+    ladder = B.Ladder(B.in_blocks(docs, normalise, "b"))
+    assert ladder.parts == [3, 9, 18] and ladder.blocks == 12
+    assert sorted(map(tuple, S.dedup(docs, 2).collect()), key=repr) == brute_force([(r["doc_id"], r["text"]) for r in awkward.collect()])
+
+
 def test_the_query_probes_compacted_runs(awkward, monkeypatch):
     runs, compactions, probe, compact = [], [], S.FingerprintIndex.probe, S.FingerprintIndex.compact
     monkeypatch.setattr(S.FingerprintIndex, "probe", lambda self, *a, **k: (runs.append(len(self.runs)), probe(self, *a, **k))[1])
@@ -65,11 +74,11 @@ def test_compaction_keeps_what_the_runs_say(spark):
     docs = [(i, " ".join(f"w{k}" for k in rnd.integers(0, 12, 120))) for i in range(12)] + [(99, " ".join(f"w{k}" for k in range(50)))] * 2
     frames = [B.in_blocks(spark.createDataFrame([d], "doc_id long, text string"), normalise, "b") for d in docs]
     flushed = [B.ask(f, S.entries_of, 8, "flushed") for f in frames]
-    index = S.FingerprintIndex(spark, 8)
+    index = S.FingerprintIndex(spark)
     for f in flushed[:-1]:
         index.append(f)
     assert len(index.runs) <= S.FAN_IN
-    plain = S.FingerprintIndex(spark, 8)
+    plain = S.FingerprintIndex(spark)
     plain.runs = flushed[:-1]
     flags = lambda ix: sorted((r["p"], bytes(r["data"])) for r in ix.probe(flushed[-1]).collect())
     assert flags(index) == flags(plain)
@@ -83,5 +92,7 @@ def test_arrays_survive_the_wire():
         x["v"], x["s"], x["n"] = np.sort(rnd.integers(0, 1 << 63, n).astype(np.uint64)), rnd.integers(0, 1 << 63, n), rnd.integers(0, 255, n)
         assert (B.expand(B.squeeze(x, True), S.ENTRY, True) == x).all()
         assert (B.expand(B.squeeze(x["n"]), np.uint8) == x["n"]).all()
-        parts = B.deal(x, 7)
-        assert (B.gather([p["n"] for p in parts], x, 7) == x["n"]).all()
+        parts = B.deal(x, 1, 7)
+        assert (B.gather([p["n"] for p in parts], x, 1, 7) == x["n"]).all()
+        some = parts[3]
+        assert (B.gather([p["n"] for p in B.deal(some, 7, 35)], some, 7, 35) == some["n"]).all()
