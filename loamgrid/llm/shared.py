@@ -1,8 +1,8 @@
 """Durable intermediate tables and the reading of input tables.
 
 Every cut of lineage is a Parquet table below ``spark.checkpoint.dir``, the folder that the
-cluster shares between the driver and the executors. Only where a session names none (tests,
-a laptop) is a local folder made and set.
+cluster shares between the driver and the executors. Where a session names none, a local folder is made
+and set if driver and executors are one process (tests, a laptop); on a cluster that is an error.
 """
 
 import atexit
@@ -24,10 +24,12 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a new local one where the session has none."""
+    """The session's shared folder; a new local one where a session in one process has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="loamgrid-")

@@ -9,15 +9,18 @@ A rule fits its host and all subdomains if the url's path starts with the rule's
 rule that fits wins; urls that no rule fits get the default verdict. A host is probed by each of its
 suffixes that start at a label, with each path length that occurs among the rules.
 
-The array is shipped with the job's files (``addFile``). Its size is checked against
-``MAX_FILE_BYTES``; a larger list is refused, to be split by host first.
+The array is shipped with the job's files (``addFile``). A list that would make a file larger than
+``MAX_FILE_BYTES`` is cut into several by ranges of digests, each mapped on its own, so that what a worker
+holds in memory are the pages that its probes touch. The files are removed when the driver ends.
 
 Defined cases: null urls, and urls without ``://``, have an empty host and path and get the default;
 an empty rule list gives every row the default; other columns of the input are ignored, whatever
 their names.
 """
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,18 +57,32 @@ class DigestArray:
         self.digests, self.ends, self.values, self.blob = digests, ends, values, blob
 
     @staticmethod
-    def build(entries: list[tuple[str, int]], path: str) -> None:
-        """Writes the file. A string given twice keeps its last value."""
+    def build(entries: list[tuple[str, int]], path: str, limit: int = MAX_FILE_BYTES) -> list[str]:
+        """Writes the file, or path.1, path.2, ... of at most ``limit`` bytes (or one digest) each; returns the paths. A string given twice keeps its last value."""
         keys = list(dict(entries))
         values, raw = dict(entries), [k.encode() for k in keys]
         found = digest(raw)
         order = np.argsort(found, kind="stable")
-        ends = np.cumsum([len(raw[i]) for i in order], dtype=np.uint64) if raw else np.zeros(0, np.uint64)
-        with open(path, "wb") as out:
-            out.write(MAGIC + np.uint64(len(raw)).tobytes())
-            out.write(found[order].tobytes() + ends.tobytes())
-            out.write(np.array([values[keys[i]] for i in order], np.uint8).tobytes())
-            out.write(b"".join(raw[i] for i in order))
+        cost = np.cumsum([17 + len(raw[i]) for i in order], dtype=np.int64)
+        cuts, low = [0], 0
+        while low < len(order):
+            spent = int(cost[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(cost, spent + limit - 16, "right")))
+            while high < len(order) and found[order[high]] == found[order[high - 1]]:  # equal digests stay together
+                high += 1
+            cuts.append(high)
+            low = high
+        paths = []
+        for a, b in zip(cuts, cuts[1:], strict=False) if len(cuts) > 1 else [(0, 0)]:
+            own = order[a:b]
+            paths.append(path if len(cuts) <= 2 else f"{path}.{len(paths) + 1}")
+            ends = np.cumsum([len(raw[i]) for i in own], dtype=np.uint64) if len(own) else np.zeros(0, np.uint64)
+            with open(paths[-1], "wb") as out:
+                out.write(MAGIC + np.uint64(len(own)).tobytes())
+                out.write(found[own].tobytes() + ends.tobytes())
+                out.write(np.array([values[keys[i]] for i in own], np.uint8).tobytes())
+                out.write(b"".join(raw[i] for i in own))
+        return paths
 
     @classmethod
     def open(cls, path: str) -> "DigestArray":
@@ -98,6 +115,16 @@ class DigestArray:
         return self.blob[int(self.ends[j - 1]) if j else 0 : int(self.ends[j])].tobytes()
 
 
+def probe_all(arrays: list[DigestArray], keys: list[bytes]) -> list[tuple[int, int] | None]:
+    """For each key (array, entry's number), or None."""
+    out: list[tuple[int, int] | None] = [None] * len(keys)
+    for k, array in enumerate(arrays):
+        found = array.probe(keys)
+        for i in np.flatnonzero(found >= 0).tolist():
+            out[i] = k, int(found[i])
+    return out
+
+
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z in lower case."""
     at = F.instr(url, "://")
@@ -127,14 +154,14 @@ def judge(urls: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     entries = [(r, verdicts.index(v)) for r, v in rules]
     lengths = sorted({len(r) - r.index("/") for r, _ in rules})
     folder = tempfile.mkdtemp(prefix="digests-")
-    name = f"digests-{uuid.uuid4().hex}.bin"  # a job's files can't be replaced under their name
-    DigestArray.build(entries, f"{folder}/{name}")
-    if os.path.getsize(f"{folder}/{name}") > MAX_FILE_BYTES:
-        raise ValueError("the list is too large to ship with the job; split it by host")
-    urls.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    paths = DigestArray.build(entries, f"{folder}/digests-{uuid.uuid4().hex}.bin")  # a job's files can't be replaced under their name
+    for path in paths:
+        urls.sparkSession.sparkContext.addFile(path)
+    names = [os.path.basename(path) for path in paths]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        array = DigestArray.open(SparkFiles.get(name))
+        arrays = [DigestArray.open(SparkFiles.get(name)) for name in names]
         for batch in batches:
             keys: list[bytes] = []
             owner: list[int] = []
@@ -144,12 +171,12 @@ def judge(urls: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
                         if len(path) >= n:
                             keys.append(f"{suffix}{path[:n]}".encode())
                             owner.append(i)
-            found = array.probe(keys)
-            best: dict[int, tuple[int, int]] = {}
-            for k in np.flatnonzero(found >= 0):
-                best[owner[k]] = max(best.get(owner[k], (-1, -1)), (len(keys[k]), int(found[k])))
-            rule = [array.string(best[i][1]).decode() if i in best else None for i in range(len(batch))]
-            verdict = [verdicts[array.values[best[i][1]]] if i in best else default for i in range(len(batch))]
+            best: dict[int, tuple[int, int, int]] = {}
+            for k, hit in enumerate(probe_all(arrays, keys)):
+                if hit:
+                    best[owner[k]] = max(best.get(owner[k], (-1, -1, -1)), (len(keys[k]), *hit))
+            rule = [arrays[best[i][1]].string(best[i][2]).decode() if i in best else None for i in range(len(batch))]
+            verdict = [verdicts[arrays[best[i][1]].values[best[i][2]]] if i in best else default for i in range(len(batch))]
             yield batch.assign(rule=pd.Series(rule, batch.index, dtype=object), verdict=pd.Series(verdict, batch.index, dtype=object))
 
     url = F.col("url")

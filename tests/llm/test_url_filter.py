@@ -43,3 +43,15 @@ def test_empty_list_and_empty_table(spark, tmp_path):
     one = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert U.judge(one, rules=(), default="block").first()["verdict"] == "block"
     assert U.judge(one.limit(0)).count() == 0
+
+
+def test_a_list_in_several_files_finds_the_same(tmp_path):
+    entries = [(f"h{i}.org/{i % 7}", i % 250) for i in range(3000)]
+    whole = [U.DigestArray.open(p) for p in U.DigestArray.build(entries, str(tmp_path / "one"))]
+    paths = U.DigestArray.build(entries, str(tmp_path / "many"), 4000)
+    many = [U.DigestArray.open(p) for p in paths]
+    assert len(whole) == 1 and len(many) > 10 and all(p.stat().st_size <= 4000 for p in tmp_path.glob("many.*"))
+    keys = [k.encode() for k, _ in entries[::3]] + [b"absent", b""]
+    say = lambda arrays: [None if h is None else (arrays[h[0]].string(h[1]), int(arrays[h[0]].values[h[1]])) for h in U.probe_all(arrays, keys)]
+    assert say(whole) == say(many) == [(k.encode(), v) for k, v in entries[::3]] + [None, None]
+    assert U.probe_all([U.DigestArray.open(p) for p in U.DigestArray.build([], str(tmp_path / "none"))], keys) == [None] * len(keys)
