@@ -91,6 +91,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the folder that the cluster shares; a local one where there is none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConvertError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="loamgrid-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/loamgrid/{uuid.uuid4().hex}/{name}"
