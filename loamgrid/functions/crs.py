@@ -259,6 +259,26 @@ def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, C
     return moved["x"], moved["y"]
 
 
+class Transformer(NamedTuple):
+    """A pair of systems; both codes are checked when it is made."""
+
+    source_crs: int
+    target_crs: int
+
+    @classmethod
+    def of(cls, source: int | str, target: int | str) -> "Transformer":
+        found = cls(parse_crs(source), parse_crs(target))
+        projection(found.source_crs), projection(found.target_crs)
+        return found
+
+    @property
+    def identity(self) -> bool:
+        return is_identity(*self)
+
+    def columns(self, x: Column, y: Column) -> tuple[Column, Column]:
+        return transform(x, y, *self)
+
+
 def transform_columns(df: DataFrame, x: str, y: str, source: int, target: int) -> DataFrame:
     """The frame with two of its columns moved to another system.
 

@@ -73,6 +73,12 @@ def is_hashable(field: T.StructField) -> bool:
     return isinstance(field.dataType, HASHABLE) or bool(field.metadata.get("guid"))
 
 
+def byte_estimate(schema: T.StructType) -> Column:
+    """About how many bytes a row takes in memory: a base, then texts and binary (geometry among them) by their length, other values by eight."""
+    each = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 24 if isinstance(f.dataType, T.StringType | T.BinaryType) else F.lit(8) for f in schema]
+    return sum(each, F.lit(64)).cast("long")
+
+
 def report_json(c: Column, kind: T.DataType) -> Column:
     """A value for a report: binary as hexadecimal, numbers that are not finite as null."""
     if isinstance(kind, T.BinaryType):

@@ -2,7 +2,10 @@
 
 import json
 import os
+import threading
 import time
+from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -16,7 +19,7 @@ from loamgrid.functions.values import type_name
 from loamgrid.operators import profile as P
 from loamgrid.operators import raster as R
 from loamgrid.sources import filegdb, geojson, geoparquet, geotiff, images, pmtiles, shapefile
-from loamgrid.sources.files import format_of, local_path, modality
+from loamgrid.sources.files import format_of, local_path, modality, write_text
 
 VERSION, SPEC_VERSION = "0.1.0", 1
 TILE = 256
@@ -46,6 +49,61 @@ def layers(path: str) -> list[str]:
     return list(filegdb.layers(path)) if format_of(path) == "filegdb" else ["default"]
 
 
+def feature_count(spark: SparkSession, path: str, layer: str | None = None) -> int | None:
+    """What a source says of its number of features without being read; None where it does not say."""
+    fmt = format_of(path)
+    if fmt == "filegdb":
+        return filegdb.table_header(filegdb.table_path(path, filegdb.pick(path, layer)[1])).rows
+    if fmt == "shapefile":
+        return len(shapefile.index(shapefile.read_bytes(shapefile.sibling(path, "shx"))))
+    return None
+
+
+@dataclass
+class RasterLayer:
+    """A raster file by its contract: what it is, its levels, and single tiles."""
+
+    spark: SparkSession
+    path: str
+
+    def profile(self) -> dict:
+        return geotiff.profile(self.path)
+
+    def pyramid_levels(self) -> int:
+        return self.profile()["levels"]
+
+    def read_tile(self, level: int, x: int, y: int) -> Any:
+        """One tile; None where there is none. Only the tiles of one partition are read for it."""
+        return read_raster(self.spark, self.path).where((F.col("level") == level) & (F.col("x") == x) & (F.col("y") == y)).first()
+
+
+class Progress:
+    """Calls ``tell(done, all)`` with the tasks of the stages that run, every so many seconds, while a block runs; once more at its end."""
+
+    def __init__(self, spark: SparkSession, tell: Callable[[int, int], None] | None, every: float = 2.0):
+        self.tracker, self.tell, self.every, self.ended = spark.sparkContext.statusTracker(), tell, every, threading.Event()
+        self.thread = threading.Thread(target=self._watch, daemon=True)
+
+    def _now(self) -> tuple[int, int]:
+        found = [i for i in map(self.tracker.getStageInfo, self.tracker.getActiveStageIds()) if i]
+        return sum(i.numCompletedTasks for i in found), sum(i.numTasks for i in found)
+
+    def _watch(self) -> None:
+        while not self.ended.wait(self.every):
+            self.tell(*self._now())
+
+    def __enter__(self) -> "Progress":
+        if self.tell:
+            self.thread.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.ended.set()
+        if self.tell:
+            self.thread.join()
+            self.tell(*self._now())
+
+
 def reprojected(df: DataFrame, to_crs: int | str) -> DataFrame:
     """The layer in another system. Its own comes from its metadata, WKT included."""
     name = P.geometry_of(df)
@@ -81,8 +139,11 @@ def size_of(path: str) -> int | None:
     return os.path.getsize(local)
 
 
-def convert(spark: SparkSession, source: str, target: str, to_crs: int | str | None = None, layer: str | None = None, source_crs: int | None = None, method: str = "bilinear", build_pyramid: bool = True, **options: Any) -> dict:
-    """Vector to vector or raster to raster, reprojected on the way if asked."""
+def convert(spark: SparkSession, source: str, target: str, to_crs: int | str | None = None, layer: str | None = None, source_crs: int | None = None, method: str = "bilinear", build_pyramid: bool = True, progress: Callable[[int, int], None] | None = None, **options: Any) -> dict:
+    """Vector to vector or raster to raster, reprojected on the way if asked. progress: see ``Progress``."""
+    if progress:
+        with Progress(spark, progress):
+            return convert(spark, source, target, to_crs, layer, source_crs, method, build_pyramid, **options)
     began, kinds = time.time(), (modality(format_of(source)), modality(format_of(target)))
     if kinds[0] != kinds[1]:
         raise ConvertError(f"{kinds[0]} to {kinds[1]}")
@@ -95,6 +156,14 @@ def convert(spark: SparkSession, source: str, target: str, to_crs: int | str | N
     return {"features": n, "seconds": time.time() - began, "bytes": size_of(target)}
 
 
+def convert_store(spark: SparkSession, source: str, target: str, to_crs: int | str | None = None, **options: Any) -> dict:
+    """Between object stores: both ends are GeoParquet addresses, read and written through Hadoop's and Arrow's file systems."""
+    for path in (source, target):
+        if format_of(path) != "geoparquet":
+            raise Unsupported(f"{path}: only Parquet goes from store to store")
+    return convert(spark, source, target, to_crs=to_crs, **options)
+
+
 def reproject(spark: SparkSession, source: str, target: str, to_crs: int | str, **options: Any) -> dict:
     return convert(spark, source, target, to_crs=to_crs, **options)
 
@@ -160,7 +229,7 @@ def optimize(spark: SparkSession, source: str, target: str, batch_rows: int = ge
     df = geoparquet.read(spark, source)
     seen = Observation()
     geoparquet.write(df.observe(seen, F.count(F.lit(1)).alias("n")), target, hilbert=True, batch_rows=batch_rows, files=files)
-    return {"features": df.count(), "bytes_in": size_of(source), "bytes_out": size_of(target)}
+    return {"features": seen.get["n"], "bytes_in": size_of(source), "bytes_out": size_of(target)}
 
 
 def inspect(spark: SparkSession, path: str) -> dict:
@@ -186,8 +255,7 @@ def metadata(spark: SparkSession, path: str, target: str | None = None) -> dict:
     """The inspection with its maker and versions, written beside the data."""
     out = {"spec_version": SPEC_VERSION, "generator": "loamgrid", "version": VERSION, **inspect(spark, path)}
     where = target or sidecar_path(path)
-    with open(where, "w", encoding="utf-8") as f:
-        json.dump(out, f, indent=2, default=str)
+    write_text(spark, where, json.dumps(out, indent=2, default=str))
     return out
 
 

@@ -130,6 +130,28 @@ def job8_profile_geometry(spark: S, sf: str) -> DataFrame:
     return df.withColumns({c: q(F.col(c), 1e3) for c in M.BOX})
 
 
+@query(f"SELECT k, {sq('lng * pi() / 180e0 * 6378137e0', '1e1')} AS x, true AS told FROM {PTS}")
+def job9_convert_store(spark: S, sf: str) -> DataFrame:
+    """From address to address, with progress on the way."""
+    as_uri = lambda p: p if files.local_path(p) is None or p.startswith("file:") else f"file://{os.path.abspath(p)}"
+    source, target, told = as_uri(_written(spark, sf)), as_uri(scratch(spark, "moved.parquet")), []
+    jobs.convert_store(spark, source, target, 3857, progress=lambda done, all_: told.append((done, all_)))
+    df = jobs.read_layer(spark, target)
+    return df.select("k", q(G.st_bbox(F.col("geometry"))["xmin"], 1e1).alias("x"), F.lit(all(a <= b for a, b in told) and bool(told)).alias("told"))
+
+
+@query(f"SELECT k, 64 + 45 + 24 + length(name) + 8 + 8 AS bytes FROM (SELECT k, 'o' || k AS name FROM {PTS})")
+def snk6_byte_estimate(spark: S, sf: str) -> DataFrame:
+    p = places(spark, sf)
+    return p.select("k", V.byte_estimate(p.schema).alias("bytes"))
+
+
+@query("SELECT * FROM (VALUES (4326, 3857, false), (4326, 7844, true), (7855, 32755, false), (3857, 3857, true)) t(source_crs, target_crs, identity)")
+def bin26_transformer(spark: S, sf: str) -> DataFrame:
+    pairs = [C.Transformer.of(a, b) for a, b in (("EPSG:4326", 3857), (4326, "7844"), (7855, 32755), (3857, 3857))]
+    return spark.createDataFrame([(*t, t.identity) for t in pairs], "source_crs int, target_crs int, identity boolean")
+
+
 # --- readers
 
 
@@ -168,6 +190,17 @@ def src33_filegdb(spark: S, sf: str) -> DataFrame:
     return p.select("fid", F.col("geometry").isNull().alias("none"), q(F.col("p")[0]["x"], 1e3).alias("x0"), q(F.col("p")[2]["y"], 1e3).alias("y2"), "name", "n", q(F.col("v")).alias("cents"))
 
 
+@query("SELECT count(*) FILTER (c_custkey % 11 <> 3) AS gdb, count(*) AS shp, true AS parquet_is_silent FROM customer")
+def src6_count_hints(spark: S, sf: str) -> DataFrame:
+    """Counts from headers and indexes."""
+    path, rows = _local(spark, "places.gdb"), [r["id"] for r in _corners(spark, sf)]
+    line = np.array([(0.0, 0.0), (1.0, 1.0)])
+    fixtures.geodatabase(path, "lines", [line] * len(rows), [None if i % 11 == 3 else ("n", i, 0.5) for i in rows], "")
+    shp = _local(spark, "rings")
+    fixtures.shapefile(shp, [np.array([(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)])] * len(rows), [("ID", "N", 10, 0)], [(i,) for i in rows], "")
+    return spark.createDataFrame([(jobs.feature_count(spark, path), jobs.feature_count(spark, f"{shp}.shp"), jobs.feature_count(spark, "x.parquet") is None)], "gdb long, shp long, parquet_is_silent boolean")
+
+
 @query("SELECT c, r, CAST(v AS BIGINT) AS v, CAST(143750 + c * 500 AS BIGINT) AS x, CAST(-36750 - r * 500 AS BIGINT) AS y, 'grey' AS band FROM (SELECT i % 40 AS c, i // 40 AS r, (i * 37 + (SELECT count(*) FROM nation)) % 251 AS v FROM range(1200) t(i))")
 def src62_image(spark: S, sf: str) -> DataFrame:
     """A grey image with a world file, as pixels with their places on the ground."""
@@ -298,6 +331,21 @@ def src54_raster_profile(spark: S, sf: str) -> DataFrame:
     return own.withColumn("north_up", A.is_north_up(A.affine(*t))).join(tiles)
 
 
+@query(f"SELECT 1 AS levels, 64 AS width, x, y, CAST(count(*) AS BIGINT) AS n, CAST(sum(v) AS BIGINT) AS total FROM (SELECT c // 32 AS x, r // 32 AS y, v FROM {PXS}) GROUP BY x, y")
+def ras10_raster_layer(spark: S, sf: str) -> DataFrame:
+    """Single tiles by the contract of a raster layer."""
+    path = _local(spark, "raster.tif")
+    geotiff.write(raster(spark, sf), path, {0: (64, 64)})
+    layer, rows = jobs.RasterLayer(spark, path), []
+    for x in range(2):
+        for y in range(2):
+            r = layer.read_tile(0, x, y)
+            p = R.plane(r["bands"][0].asDict(), r["height"], r["width"])
+            rows.append((layer.pyramid_levels(), layer.profile()["width"], x, y, int((~np.isnan(p)).sum()), int(np.nansum(p))))
+    assert layer.read_tile(0, 9, 9) is None
+    return spark.createDataFrame(rows, "levels int, width int, x long, y long, n long, total long")
+
+
 _TARGET, _TW, _TH = R.target_grid((0.0, 1.0, 0.0, 64.0, 0.0, -1.0), 64, 64, 4326, 3857, 64)
 _TARGET = tuple(map(float, _TARGET))
 _SRC = f"SELECT tc, tr, CAST(floor(degrees(({_TARGET[0]!r}::DOUBLE + (tc + 5e-1) * {_TARGET[1]!r}::DOUBLE) / 6378137e0)) AS BIGINT) AS c, CAST(floor(64e0 - degrees(2e0 * atan(exp(({_TARGET[3]!r}::DOUBLE + (tr + 5e-1) * {_TARGET[5]!r}::DOUBLE) / 6378137e0)) - pi() / 2e0)) AS BIGINT) AS r FROM range({_TW}) a(tc), range({_TH}) b(tr)"

@@ -101,3 +101,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 def driver_bytes(spark: SparkSession, path: str) -> bytes:
     """A small file through Spark's own file systems."""
     return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any store that Hadoop knows."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path if local_path(path) is None or path.startswith("file:") else f"file://{os.path.abspath(path)}")
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
