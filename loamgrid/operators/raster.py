@@ -305,12 +305,13 @@ def pixels(tiles: DataFrame, band: int = 0) -> DataFrame:
 
 
 def from_pixels(df: DataFrame, affine: tuple, tile: int = 256, dtype: str = "F64", nodata: float | None = None, epsg: int | None = None) -> DataFrame:
-    """Tiles of level 0 from (column, row, value); a pixel given twice keeps one value."""
+    """Tiles of level 0 from (column, row, value); a pixel given several times keeps its largest value."""
     keyed = df.select(F.col("column").cast("long").alias("column"), F.col("row").cast("long").alias("row"), F.col("value").cast("double").alias("value")).withColumns({"tx": F.expr(f"column div {tile}"), "ty": F.expr(f"row div {tile}")})
 
     def run(table: pa.Table) -> pa.Table:
         tx, ty = table.column("tx")[0].as_py(), table.column("ty")[0].as_py()
         p = np.full((tile, tile), np.nan)
+        table = table.sort_by("value")  # the last one stays
         p[table.column("row").to_numpy() - ty * tile, table.column("column").to_numpy() - tx * tile] = table.column("value").to_numpy()
         t = (affine[0] + tx * tile * affine[1] + ty * tile * affine[2], affine[1], affine[2], affine[3] + tx * tile * affine[4] + ty * tile * affine[5], affine[4], affine[5])
         band = {"name": "band_1", "dtype": dtype, "nodata": nodata, "unit": None, "scale": None, "offset": None}

@@ -14,7 +14,7 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -373,7 +373,7 @@ class _Part(NamedTuple):
 
 
 def write(tiles: DataFrame, path: str, sizes: dict[int, tuple[int, int]] | None = None, codec: str = "deflate", level: int = 6, epsg: int | None = None) -> None:
-    """Tiles of one or more levels as one little-endian file. A place given twice keeps one of its tiles.
+    """Tiles of one or more levels as one little-endian file. Of tiles given for one place the one whose bytes come first stays.
 
     Tasks encode the tiles; the driver streams them to the file in order and then writes the directories.
     sizes: width and height of each level; without them, whole tiles.
@@ -393,7 +393,8 @@ def write(tiles: DataFrame, path: str, sizes: dict[int, tuple[int, int]] | None
     packed = F.pandas_udf(encode, T.BinaryType())
     own = tiles.select("level", "x", "y", "width", "height", "affine", F.transform("bands", lambda b: b["dtype"]).alias("kinds"), F.get("bands", F.lit(0))["nodata"].alias("nodata"), packed(F.transform("bands", lambda b: b["dtype"]), F.transform("bands", lambda b: b["data"]), "width", "height").alias("data"), *(["epsg"] if "epsg" in tiles.columns else []))
     where = scratch(spark, "tiff")
-    own.dropDuplicates(["level", "x", "y"]).write.parquet(where)
+    order = F.row_number().over(Window.partitionBy("level", "x", "y").orderBy("data"))
+    own.withColumn("_r", order).where("_r = 1").drop("_r").write.parquet(where)
     rows = spark.read.parquet(where)
     about = rows.groupBy("level").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.max("width").alias("w"), F.max("height").alias("h"), F.first("kinds").alias("kinds"), F.first("nodata").alias("nodata"), F.min_by("affine", F.struct("y", "x")).alias("affine"), *([F.max("epsg").alias("epsg")] if "epsg" in rows.columns else [])).orderBy("level").collect()
     if not about:
