@@ -98,8 +98,11 @@ def _below(z: Column) -> Column:
     return F.call_function("div", F.call_function("shiftleft", F.lit(1).cast("long"), z * 2) - 1, F.lit(3).cast("long"))
 
 
-def tile_id(z: Column, x: Column, y: Column) -> Column:
-    """Tiles of lower levels, then the Hilbert distance; null for a level above 31 or a place outside it."""
+def tile_id(z: Column | int, x: Column, y: Column) -> Column:
+    """Tiles of lower levels, then the Hilbert distance; null for a level above 31 or a place outside it. A number for z is compiled."""
+    if isinstance(z, int):
+        inside = (x >= 0) & (y >= 0) & (x < 1 << z) & (y < 1 << z) if 0 <= z <= MAX_ZOOM else F.lit(False)
+        return hilbert(F.when(inside, x), y, max(0, min(z, MAX_ZOOM))) + ((1 << 2 * max(z, 0)) - 1) // 3
     side = F.call_function("shiftleft", F.lit(1).cast("long"), z)
     good = (z >= 0) & (z <= MAX_ZOOM) & (x >= 0) & (y >= 0) & (x < side) & (y < side)
     return F.when(good, _below(z) + hilbert(x, y, z))

@@ -1,6 +1,8 @@
 """Joins by place. Each is an equality join on grid cells or tiles, with an exact test behind it.
 
-A pair of boxes that share several cells is kept in one only: the cell of the north-western corner of
+Cells have levels, each of twice the size of the one below. A box lies on the level whose cells are at least as
+large as itself, so that it touches four of them at most, however large it is; it meets larger boxes on their
+level. A pair of boxes that share several cells is kept in one only: the cell of the north-western corner of
 their common part. Cells far more crowded than others are split by the adaptive planner or, for a known
 hot cell, by ``salt``.
 """
@@ -12,30 +14,46 @@ from loamgrid.functions.geometry import st_contains_point
 from loamgrid.functions.measure import BOX, boxes_intersect
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
+def _level(size: float) -> Column:
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) / size
+    return F.when(side > 1, F.ceil(F.log2(side))).otherwise(0).cast("int")
 
 
-def _in_cells(df: DataFrame, size: float) -> DataFrame:
-    each = df.withColumn("_cx", F.explode(_cells(F.col("xmin"), F.col("xmax"), size)))
-    return each.withColumn("_cy", F.explode(_cells(F.col("ymin"), F.col("ymax"), size)))
+def _levels(df: DataFrame, size: float) -> list[int]:
+    """The levels that there are boxes on: a few numbers."""
+    return sorted(r[0] for r in df.where("xmin is not null").select(_level(size)).distinct().collect() if r[0] is not None)
 
 
-def box_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Pairs whose boxes touch, as columns under a. and b. (structs). size: of a cell, about that of a box."""
-    a = _in_cells(left.select(F.struct("*").alias("a"), *BOX), size).select("a", "_cx", "_cy")
-    b = _in_cells(right.select(F.struct("*").alias("b"), *BOX), size).select("b", "_cx", "_cy")
-    pairs = a.join(b, ["_cx", "_cy"]).where(boxes_intersect("a", "b"))
-    first = (F.floor(F.greatest("a.xmin", "b.xmin") / size) == F.col("_cx")) & (F.floor(F.greatest("a.ymin", "b.ymin") / size) == F.col("_cy"))
+def _size(size: float, level: str = "_l") -> Column:
+    return F.pow(F.lit(2.0), F.col(level)) * size
+
+
+def _in_cells(df: DataFrame, size: float, others: list[int]) -> DataFrame:
+    """One row for each cell of the box's own level, and of the larger ones of ``others``, that it touches."""
+    above = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col("_own"))
+    each = df.withColumn("_own", _level(size)).withColumn("_l", F.explode(F.concat(F.array("_own"), above)))
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / _size(size)), F.floor(F.col(high) / _size(size))))
+    return each.withColumn("_cx", cells("xmin", "xmax")).withColumn("_cy", cells("ymin", "ymax"))
+
+
+def box_join(left: DataFrame, right: DataFrame, size: float, salt: int = 1) -> DataFrame:
+    """Pairs whose boxes touch, as columns under a. and b. (structs). size: of the smallest cells, about that of a usual box."""
+    keys, place = ["_l", "_cx", "_cy", "_s"], F.pmod(F.xxhash64(*BOX), F.lit(salt)).cast("int")
+    a = _in_cells(left.select(F.struct("*").alias("a"), *BOX), size, _levels(right, size)).select("a", "_l", "_cx", "_cy", F.col("_own").alias("_oa"), place.alias("_s"))
+    b = _in_cells(right.select(F.struct("*").alias("b"), *BOX), size, _levels(left, size)).select("b", "_l", "_cx", "_cy", F.col("_own").alias("_ob"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_s"))
+    pairs = a.join(b, keys).where(boxes_intersect("a", "b")).where("_l = greatest(_oa, _ob)")
+    first = (F.floor(F.greatest("a.xmin", "b.xmin") / _size(size)) == F.col("_cx")) & (F.floor(F.greatest("a.ymin", "b.ymin") / _size(size)) == F.col("_cy"))
     return pairs.where(first).select("a", "b")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, x: str = "x", y: str = "y", salt: int = 1) -> DataFrame:
     """Points (columns under a.) with the boxes (under b.) that hold them, edges included."""
-    p = points.select(F.struct("*").alias("a"), F.floor(F.col(x) / size).alias("_cx"), F.floor(F.col(y) / size).alias("_cy"), F.pmod(F.xxhash64(F.col(x), F.col(y)), F.lit(salt)).cast("int").alias("_s"))
-    b = _in_cells(boxes.select(F.struct("*").alias("b"), *BOX), size).select("b", "_cx", "_cy", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_s"))
+    levels = _levels(boxes, size) or [0]
+    p = points.select(F.struct("*").alias("a"), F.explode(F.array(*map(F.lit, levels))).alias("_l"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    p = p.select("a", "_l", F.floor(F.col("_x") / _size(size)).alias("_cx"), F.floor(F.col("_y") / _size(size)).alias("_cy"), F.pmod(F.xxhash64("_x", "_y"), F.lit(salt)).cast("int").alias("_s"))
+    b = _in_cells(boxes.select(F.struct("*").alias("b"), *BOX), size, []).select("b", "_l", "_cx", "_cy", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_s"))
     inside = (F.col(f"a.{x}") >= F.col("b.xmin")) & (F.col(f"a.{x}") <= F.col("b.xmax")) & (F.col(f"a.{y}") >= F.col("b.ymin")) & (F.col(f"a.{y}") <= F.col("b.ymax"))
-    return p.join(b, ["_cx", "_cy", "_s"]).where(inside).select("a", "b")
+    return p.join(b, ["_l", "_cx", "_cy", "_s"]).where(inside).select("a", "b")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y", geometry: str = "geometry") -> DataFrame:

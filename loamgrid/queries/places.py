@@ -123,7 +123,7 @@ def til_point_to_tile(spark: S, sf: str) -> DataFrame:
 @query(f"SELECT k, CAST(349525 AS BIGINT) + d AS id FROM {hilbert_sql(Z10, 'x', 'y', 10, 'k')}")
 def idx5_tile_id(spark: S, sf: str) -> DataFrame:
     x, y = T.tile_of(F.col("lng"), F.col("lat"), F.lit(10))
-    return points(spark, sf).select("k", I.tile_id(F.lit(10), x, y).alias("id"))
+    return points(spark, sf).select("k", I.tile_id(10, x, y).alias("id"))
 
 
 @query("SELECT k, CAST(z AS INT) AS z, x, y FROM (SELECT o_orderkey AS k, 3 + o_orderkey % 9 AS z, o_orderkey*13 % pow(2, 3 + o_orderkey % 9)::BIGINT AS x, o_orderkey*7 % pow(2, 3 + o_orderkey % 9)::BIGINT AS y FROM orders)")
@@ -253,5 +253,5 @@ def dat5_json_text(spark: S, sf: str) -> DataFrame:
 def flagship_tiles(spark: S, sf: str) -> DataFrame:
     """Orders by level-6 tile: counts and extent, in the order of the curve."""
     x, y = T.tile_of(F.col("lng"), F.col("lat"), F.lit(6))
-    keyed = points(spark, sf).select(I.tile_id(F.lit(6), x, y).alias("id"), "lng")
+    keyed = points(spark, sf).select(I.tile_id(6, x, y).alias("id"), "lng")
     return keyed.groupBy("id").agg(F.count(F.lit(1)).alias("n"), q(F.min("lng"), 1e3).alias("west"), q(F.max("lng"), 1e3).alias("east"))

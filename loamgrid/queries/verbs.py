@@ -17,6 +17,7 @@ from loamgrid.functions import schema as X
 from loamgrid.functions import tiles as T
 from loamgrid.functions import values as V
 from loamgrid.operators import raster as R
+from loamgrid.operators import spatial_join as J
 from loamgrid.operators import vector_tiles as VT
 from loamgrid.plans import jobs
 from loamgrid.queries import fixtures
@@ -555,6 +556,29 @@ def ext_sliding(spark: S, sf: str) -> DataFrame:
     return t.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
+_EVENTS = "(SELECT date_trunc('hour', ts) AS w, ((event_id*7919+104729) % 360000)/1e3 - 180e0 AS lng, ((event_id*6101+7) % 160000)/1e3 - 80e0 AS lat FROM events)"
+_EVENT_TILES = f"(SELECT w, CAST(floor((lng + 180e0)/360e0*64) AS BIGINT) AS x, CAST(floor((1e0 - ln(tan(radians(lat)) + 1e0/cos(radians(lat)))/pi())/2e0*64) AS BIGINT) AS y FROM {_EVENTS})"
+
+
+@query(f"SELECT w AS window_start, d + 1365 AS tile_id, count(*) AS n FROM {hilbert_sql(_EVENT_TILES, 'x', 'y', 6, 'w')} GROUP BY ALL")
+def ext_tile_counts(spark: S, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    placed = e.withColumns({"lng": ((F.col("event_id") * 7919 + 104729) % 360000) / 1e3 - 180.0, "lat": ((F.col("event_id") * 6101 + 7) % 160000) / 1e3 - 80.0})
+    return W.tile_counts(placed).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+_WIDE = "(SELECT c_custkey AS id, ((c_custkey*3571+17) % 360000)/1e3 - 180e0 AS xmin, ((c_custkey*1299+3) % 170000)/1e3 - 85e0 AS ymin, ((c_custkey*3571+17) % 360000)/1e3 - 180e0 + CASE WHEN c_custkey % 50 = 0 THEN 90e0 ELSE 1e0 END AS xmax, ((c_custkey*1299+3) % 170000)/1e3 - 85e0 + CASE WHEN c_custkey % 50 = 0 THEN 20e0 ELSE 5e-1 END AS ymax FROM customer)"
+
+
+@query(f"SELECT a.id AS a, b.id AS b FROM {_WIDE} a JOIN {_WIDE} b ON a.id < b.id AND a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin")
+def ext_box_join_sizes(spark: S, sf: str) -> DataFrame:
+    """Boxes of very different sizes: each touches few cells of its own level."""
+    x, y = ((F.col("c_custkey") * 3571 + 17) % 360000) / 1e3 - 180.0, ((F.col("c_custkey") * 1299 + 3) % 170000) / 1e3 - 85.0
+    big = F.col("c_custkey") % 50 == 0
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), x.alias("xmin"), y.alias("ymin"), (x + F.when(big, 90.0).otherwise(1.0)).alias("xmax"), (y + F.when(big, 20.0).otherwise(0.5)).alias("ymax"))
+    return J.box_join(c, c, 1.0, salt=2).where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
 @query("SELECT event_id, min(user_id) AS user_id FROM (SELECT * FROM events UNION ALL SELECT * FROM events) GROUP BY event_id")
 def ext_distinct_events(spark: S, sf: str) -> DataFrame:
     e = table(spark, sf, "events")

@@ -34,7 +34,7 @@ def tile_counts(points: DataFrame, z: int = 6, width: str = "1 hour", late: str
     """(window_start, tile_id, n): points by window and tile."""
     timed = points.withWatermark(time, late) if points.isStreaming else points
     x, y = tiles.tile_of(F.col(lng), F.col(lat), F.lit(z))
-    keyed = timed.withColumn("tile_id", tile_id(F.lit(z), x, y))
+    keyed = timed.withColumn("tile_id", tile_id(z, x, y))
     return keyed.groupBy(F.window(time, width).alias("w"), "tile_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "tile_id", "n")
 
 
