@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from loamgrid.core.errors import Unsupported
 from loamgrid.functions.crs import transform_array
+from loamgrid.sources.files import scratch
 from loamgrid.sources.geotiff import DTYPES, SCHEMA
 
 METHODS = ("nearest", "bilinear", "cubic", "lanczos", "average", "mode")
@@ -207,10 +208,12 @@ def level_sizes(width: int, height: int, min_dimension: int = MIN_DIMENSION, max
 
 
 def pyramid(tiles: DataFrame, width: int, height: int, method: str = "average", min_dimension: int = MIN_DIMENSION, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Level 0 and all overviews."""
-    out = current = tiles
+    """Level 0 and all overviews. Each level is written, so that the next one is not planned on all below it."""
+    spark, out, current = tiles.sparkSession, tiles, tiles
     for _ in level_sizes(width, height, min_dimension, max_levels):
-        current = next_level(current, method)
+        path = scratch(spark, "level")
+        next_level(current, method).write.parquet(path)
+        current = spark.read.schema(SCHEMA).parquet(path)
         out = out.unionByName(current)
     return out
 

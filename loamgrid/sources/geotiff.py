@@ -372,11 +372,11 @@ class _Part(NamedTuple):
     data: bytes
 
 
-def write(tiles: DataFrame, path: str, sizes: dict[int, tuple[int, int]] | None = None, codec: str = "deflate", level: int = 6, epsg: int | None = None) -> None:
+def write(tiles: DataFrame, path: str, sizes: dict[int, tuple[int, int]] | None = None, codec: str = "deflate", level: int = 6, epsg: int | None = None, big: bool | None = None) -> None:
     """Tiles of one or more levels as one little-endian file. Of tiles given for one place the one whose bytes come first stays.
 
     Tasks encode the tiles; the driver streams them to the file in order and then writes the directories.
-    sizes: width and height of each level; without them, whole tiles.
+    sizes: width and height of each level; without them, whole tiles. big: 64-bit offsets; by default where 32 bits do not reach.
     """
     target = local_path(path)
     if target is None:
@@ -400,29 +400,30 @@ def write(tiles: DataFrame, path: str, sizes: dict[int, tuple[int, int]] | None
     if not about:
         raise TiffError("no tiles")
     code = epsg or (about[0]["epsg"] if "epsg" in rows.columns else None)
-    at, places = 8, {}
+    if big is None:
+        total = rows.agg(F.sum(F.length("data").cast("long")), F.count(F.lit(1))).first()
+        big = total[0] + 64 * total[1] + (1 << 20) >= 1 << 32
+    at, places = 16 if big else 8, {}
     with open(f"{target}.part", "wb") as out:
-        out.write(b"II*\0" + bytes(4))
+        out.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if big else b"II*\0" + bytes(4))
         for r in rows.select("level", "x", "y", "data").orderBy("level", "y", "x").toLocalIterator():
             places[r["level"], r["x"], r["y"]] = at, len(r["data"])
             out.write(r["data"])
             at += len(r["data"])
-            if at >= 1 << 32:
-                raise Unsupported("more than 4 GB in a classic file")
-        link = 4
+        link = 8 if big else 4
         for a in about:
             out.write(bytes(at % 2))
             at += at % 2
-            blob, next_at = directory(a, places, (sizes or {}).get(a["level"]), at, codec, code if a["level"] == about[0]["level"] else None)
+            blob, next_at = directory(a, places, (sizes or {}).get(a["level"]), at, codec, code if a["level"] == about[0]["level"] else None, big)
             out.seek(link)
-            out.write(struct.pack("<I", at))
+            out.write(struct.pack("<Q" if big else "<I", at))
             out.seek(at)
             out.write(blob)
             link, at = next_at, at + len(blob)
     os.replace(f"{target}.part", target)
 
 
-def directory(a: Any, places: dict, size: tuple[int, int] | None, at: int, codec: str, epsg: int | None) -> tuple[bytes, int]:
+def directory(a: Any, places: dict, size: tuple[int, int] | None, at: int, codec: str, epsg: int | None, big: bool = False) -> tuple[bytes, int]:
     """A level's directory with its values behind it, and where the link to the next one is."""
     across, down, kinds = a["x"] + 1, a["y"] + 1, a["kinds"]
     width, height = size or (across * a["w"], down * a["h"])
@@ -430,7 +431,7 @@ def directory(a: Any, places: dict, size: tuple[int, int] | None, at: int, codec
     formats = {"U": 1, "I": 2, "F": 3}
     tags: list[tuple[int, str, tuple]] = [
         (SUBFILE, "I", (1 if a["level"] else 0,)), (WIDTH, "I", (width,)), (HEIGHT, "I", (height,)), (BITS, "H", tuple(8 * np.dtype(DTYPES[k]).itemsize for k in kinds)), (COMPRESSION, "H", ({"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}[codec],)),
-        (PHOTOMETRIC, "H", (2 if len(kinds) == 3 and set(kinds) == {"U8"} else 1,)), (SAMPLES, "H", (len(kinds),)), (PLANAR, "H", (1,)), (TILE_WIDTH, "I", (a["w"],)), (TILE_HEIGHT, "I", (a["h"],)), (TILE_AT, "I", tuple(p for p, _ in found)), (TILE_BYTES, "I", tuple(n for _, n in found)), (SAMPLE_FORMAT, "H", tuple(formats[k[0]] for k in kinds)),
+        (PHOTOMETRIC, "H", (2 if len(kinds) == 3 and set(kinds) == {"U8"} else 1,)), (SAMPLES, "H", (len(kinds),)), (PLANAR, "H", (1,)), (TILE_WIDTH, "I", (a["w"],)), (TILE_HEIGHT, "I", (a["h"],)), (TILE_AT, "Q" if big else "I", tuple(p for p, _ in found)), (TILE_BYTES, "I", tuple(n for _, n in found)), (SAMPLE_FORMAT, "H", tuple(formats[k[0]] for k in kinds)),
     ]
     t = a["affine"]
     if t is not None and not a["level"]:
@@ -444,15 +445,16 @@ def directory(a: Any, places: dict, size: tuple[int, int] | None, at: int, codec
     if a["nodata"] is not None:
         tags.append((NODATA, "s", (f"{a['nodata']:g}",)))
     tags.sort()
-    body, behind = [struct.pack("<H", len(tags))], b""
-    base = at + 2 + 12 * len(tags) + 4
+    number, room, entry = ("<Q", 8, "<HHQ") if big else ("<H", 4, "<HHI")
+    body, behind = [struct.pack(number, len(tags))], b""
+    base = at + struct.calcsize(number) + (struct.calcsize(entry) + room) * len(tags) + room
     for tag, code, values in tags:
         raw = values[0].encode() + b"\0" if code == "s" else struct.pack(f"<{len(values)}{code}", *values)
-        kind = {"s": 2, "H": 3, "I": 4, "d": 12}[code]
+        kind = {"s": 2, "H": 3, "I": 4, "d": 12, "Q": 16}[code]
         count = len(raw) if code == "s" else len(values)
-        if len(raw) <= 4:
-            body.append(struct.pack("<HHI", tag, kind, count) + raw.ljust(4, b"\0"))
+        if len(raw) <= room:
+            body.append(struct.pack(entry, tag, kind, count) + raw.ljust(room, b"\0"))
         else:
-            body.append(struct.pack("<HHII", tag, kind, count, base + len(behind)))
+            body.append(struct.pack(entry + ("Q" if big else "I"), tag, kind, count, base + len(behind)))
             behind += raw + bytes(len(raw) % 2)
-    return b"".join(body) + bytes(4) + behind, base - 4
+    return b"".join(body) + bytes(room) + behind, base - room

@@ -446,13 +446,15 @@ def test_strips_predictors_and_byte_orders(spark, tmp_path, predictor, order, bi
     assert np.frombuffer(bytes(row["bands"][0]["data"]), "<u2").reshape(3, 4).tolist() == pixels.tolist()
 
 
-@pytest.mark.parametrize("codec", ["none", "packbits", "lzw", "deflate"])
-def test_tiled_round_trip(spark, tmp_path, codec):
+@pytest.mark.parametrize(("codec", "big"), [("none", False), ("packbits", None), ("lzw", None), ("deflate", None), ("none", True)])
+def test_tiled_round_trip(spark, tmp_path, codec, big):
     path = str(tmp_path / "t.tif")
     t = (144.0, 0.0005, 0.0, -37.0, 0.0, -0.0005)
     bands = lambda v: [("b1", "F32", -9.0, None, None, None, np.full((2, 2), v, "<f4").tobytes()), ("b2", "F32", -9.0, None, None, None, np.full((2, 2), -v, "<f4").tobytes())]
     rows = [(0, x, y, 2, 2, (144.0 + x * 0.001, *t[1:3], -37.0 - y * 0.001, *t[4:]), bands(10.0 * (1 + x + 2 * y)), 7855) for x in (0, 1) for y in (0, 1)]
-    geotiff.write(spark.createDataFrame(rows, geotiff.SCHEMA), path, {0: (4, 4)}, codec)
+    geotiff.write(spark.createDataFrame(rows, geotiff.SCHEMA), path, {0: (4, 4)}, codec, big=big)
+    with open(path, "rb") as f:
+        assert f.read(4)[2] == (43 if big else 42)
     about = geotiff.profile(path)
     assert about["epsg"] == 7855 and about["affine"] == pytest.approx(t) and about["bands"] == [{"dtype": "F32", "nodata": -9.0}] * 2
     got = {(r["x"], r["y"]): np.frombuffer(bytes(r["bands"][1]["data"]), "<f4")[0] for r in geotiff.read(spark, path).collect()}
