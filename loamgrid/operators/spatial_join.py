@@ -61,14 +61,26 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, x: s
     return points_in_boxes(points, polygons, size, x, y).where(st_contains_point(F.col(f"b.{geometry}"), F.col(f"a.{x}"), F.col(f"a.{y}")))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, columns: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, columns: list[str], part: Column | None = None) -> DataFrame:
     """Each left row with the columns of the latest right row of its key at or before its time.
 
-    One sort of both sides together and a running last value; no pairs are made.
+    One sort of both sides together and a running last value; no pairs are made. part: an expression that never falls as
+    time rises (a day of it, say): a key is then worked on part by part, so that a hot key is many tasks, and what
+    is the latest at the end of a part is carried to the next ones, one row for each key and part.
     """
-    a = left.select("*", F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_{c}") for c in columns])
-    b = right.select(*by, on, F.lit(0).alias("_side"), *[F.col(c).alias(f"_{c}") for c in columns])
+    own = F.lit(0) if part is None else part
+    a = left.select("*", F.lit(1).alias("_side"), own.alias("_part"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_{c}") for c in columns])
+    b = right.select(*by, on, F.lit(0).alias("_side"), own.alias("_part"), *[F.col(c).alias(f"_{c}") for c in columns])
     both = a.unionByName(b, allowMissingColumns=True)
-    before = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    row = F.last(F.when(F.col("_side") == 0, F.struct(*[f"_{c}" for c in columns])), ignorenulls=True).over(before)
-    return both.withColumn("_last", row).where("_side = 1").select(*left.columns, *[F.col(f"_last._{c}").alias(c) for c in columns])
+    before = Window.partitionBy(*by, "_part").orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = F.when(F.col("_side") == 0, F.struct(*[f"_{c}" for c in columns]))
+    running = both.withColumn("_last", F.last(found, ignorenulls=True).over(before)).where("_side = 1")
+    if part is not None:
+        ends = both.groupBy(*by, "_part").agg(F.max_by(found, F.when(F.col("_side") == 0, F.col(on))).alias("_end"))
+        earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_part").alias("_q"), F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+        same = F.col("_part").eqNullSafe(F.col("_q"))
+        for i, c in enumerate(by):
+            same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        running = running.join(carried, same, "left").withColumn("_last", F.coalesce("_last", "_carried"))
+    return running.select(*left.columns, *[F.col(f"_last._{c}").alias(c) for c in columns])

@@ -264,6 +264,14 @@ def ext_as_of_join(spark: S, sf: str) -> DataFrame:
     return J.as_of(e.select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", ["last_value"]).select("event_id", "last_value")
 
 
+@query("SELECT a.event_id, max_by(b.value, b.ts) AS last_value FROM events a LEFT JOIN (SELECT ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY ts) b ON b.ts <= a.ts GROUP BY a.event_id")
+def ext_as_of_hot_key(spark: S, sf: str) -> DataFrame:
+    """The latest click of anybody: one key for all rows, worked on day by day."""
+    e = table(spark, sf, "events").withColumn("all", F.lit(1))
+    clicks = e.where("event_type = 'click'").groupBy("all", "ts").agg(F.max("value").alias("last_value"))
+    return J.as_of(e.select("event_id", "all", "ts"), clicks, ["all"], "ts", ["last_value"], F.date_trunc("day", F.col("ts"))).select("event_id", "last_value")
+
+
 @query("SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, s")
 def ext_sessions(spark: S, sf: str) -> DataFrame:
     s = W.sessions(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
