@@ -51,7 +51,7 @@ BOILER_WORDS = frozenset(
     "notice notification alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations widget toolbar pagination pager login signup search copyright legal disclaimer tags skip".split()
 )
 #: A name that begins so says how a page is laid out, not what the element is.
-LAYOUT_WORDS = frozenset("no has with without layout page body single template grid col row content main article post entry is not".split())
+LAYOUT_WORDS = frozenset("no has with without layout template grid is not".split())
 ARTICLE_WORDS = frozenset("article main content post entry story body text".split())
 ROLES = {"navigation": True, "banner": True, "contentinfo": True, "complementary": True, "search": True, "form": True, "alert": True, "dialog": True, "main": False, "article": False}
 
@@ -172,10 +172,11 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def boiler_name(said: str) -> bool:
-    """Whether a word of a class or id names a part that is no article: the whole, its first part, or its last unless it is about layout."""
+    """Whether a word of a class or id names a part that is no article: the whole, its first part, or its last unless it is about layout or an article's own header."""
     for name in said.lower().split():
         parts = re.split("[-_]+", name)
-        if parts[0] in BOILER_WORDS or (parts[-1] in BOILER_WORDS and parts[0] not in LAYOUT_WORDS):
+        first, last = parts[0], parts[-1]
+        if first in BOILER_WORDS or (last in BOILER_WORDS and first not in LAYOUT_WORDS and not (last == "header" and first in ARTICLE_WORDS)):
             return True
     return False
 

@@ -46,6 +46,7 @@ W = "word " * 30
         (f'<div class="no-sidebar"><p>{W}</p></div>', W.strip()),
         (f'<div class="layout-sidebar"><div class="content"><p>{W}</p></div><div class="left-sidebar"><p>{W}</p></div></div>', W.strip()),
         (f'<div class="sidebar-left"><p>{W}</p></div><div id="site_footer">{W}</div><article><address>here</address></article>', "here"),
+        (f'<div id="content"><div class="entry-header"><h1>T</h1></div><p>{W}</p><ul class="post-tags"><li>a</li></ul><div class="post-comments"><p>{W}</p></div></div><div id="main-menu">{W}</div>', f"T {W.strip()}"),
         ("<article><p>one<article><p>two</article></article></article><p>", "one two"),
     ],
 )
