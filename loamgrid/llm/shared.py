@@ -9,6 +9,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []  #: paths that this driver has given out
 
 
 def let(value: Column, body) -> Column:
@@ -40,16 +42,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/loamgrid/{uuid.uuid4().hex}/{name}"
+    _MADE.append(f"{shared_dir(spark)}/loamgrid/{uuid.uuid4().hex}/{name}")
+    return _MADE[-1]
 
 
-def store(df: DataFrame, name: str, codec: str = "zstd", by: list[str] | None = None) -> DataFrame:
-    """Writes the frame to the shared folder, in a folder for each value of ``by``, and returns the reading of it."""
-    path = scratch(df.sparkSession, name)
+@contextmanager
+def tidied(spark: SparkSession):
+    """Removes at its end all paths that were given out inside it. Nothing that reads them may be run afterwards."""
+    first = len(_MADE)
+    yield
+    for path in _MADE[first:]:
+        remove(spark, path.rsplit("/", 1)[0])
+    del _MADE[first:]
+
+
+def written(df: DataFrame, path: str, codec: str = "zstd", by: list[str] | None = None) -> DataFrame:
+    """Writes the frame to a path, in a folder for each value of ``by``, and returns the reading of it."""
     df.write.option("compression", codec).partitionBy(*by or []).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store(df: DataFrame, name: str, codec: str = "zstd", by: list[str] | None = None) -> DataFrame:
+    """``written`` to a path of its own in the shared folder."""
+    return written(df, scratch(df.sparkSession, name), codec, by)
+
+
 def store_and_sum(df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, dict]:
     """``store``, with aggregates over all rows from the same pass."""
     seen = Observation()

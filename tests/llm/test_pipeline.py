@@ -1,7 +1,10 @@
+import os
+
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
+from loamgrid.llm import shared
 
 
 @pytest.fixture(scope="module")
@@ -22,8 +25,11 @@ def test_stages_keep_the_columns_and_take_effect(spark, awkward, folder):
 
 
 def test_run(spark, folder):
+    before = len(shared._MADE)
     rows = P.run(spark, folder).collect()
     assert rows and all(r["ids"][-1] == 2 for r in rows)
+    assert [p.rsplit("/", 1)[1] for p in shared._MADE[before:]] == [f"stage{k}" for k in range(5)]
+    assert not os.path.exists(shared._MADE[before].replace("stage0", "lines")) and os.path.exists(shared._MADE[-1])
 
 
 def test_every_query_is_registered():
