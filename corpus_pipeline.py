@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loamgrid.llm import line_templates, mixing, near_dup, pieces, quality
 from loamgrid.llm.queries import piece_model
-from loamgrid.llm.shared import store, table
+from loamgrid.llm.shared import scratch, table, tidied, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each result is written to the shared folder and read again."""
+    """The stages over ``documents``; each result is written to the shared folder and read again, and what a stage wrote on the way is removed."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = store(stage(spark, docs, sf_dir), f"stage{k}")
+        path = scratch(spark, f"stage{k}")
+        with tidied(spark):
+            docs = written(stage(spark, docs, sf_dir), path)
     return docs
