@@ -44,6 +44,22 @@ def slices(wkb: pa.Array, limit: int = 4 << 20) -> list[pa.Array]:
     return [wkb.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def holds(xy: np.ndarray, ring_n: np.ndarray, ring_row: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the rings of each row hold its point: even-odd rule, and not on an edge."""
+    ends, some = np.cumsum(ring_n), ring_n > 0
+    after = np.arange(1, len(xy) + 1)
+    after[ends[some] - 1] = (ends - ring_n)[some]  # rings are closed whether or not their last vertex is the first one
+    row = np.repeat(ring_row, ring_n)
+    a, b, px, py = xy, xy[after], x[row], y[row]
+    with np.errstate(all="ignore"):
+        crossed = (a[:, 1] > py) != (b[:, 1] > py)
+        at = (b[:, 0] - a[:, 0]) * (py - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
+        level = (a[:, 1] == py) & (b[:, 1] == py) & (np.minimum(a[:, 0], b[:, 0]) <= px) & (px <= np.maximum(a[:, 0], b[:, 0]))
+        on = level | ((a[:, 0] == px) & (a[:, 1] == py)) | (crossed & (px == at))
+    turns = np.bincount(row[crossed & (px < at)], minlength=len(x))
+    return (turns % 2 == 1) & (np.bincount(row[on], minlength=len(x)) == 0)
+
+
 class Flat:
     """``kind`` of each row (0 for others and nulls); ``xy`` of all rings; ``ring_row`` and ``ring_n``; rings in the order of their rows."""
 
@@ -104,6 +120,10 @@ class Flat:
         """Sums by row of a value for each ring."""
         return np.bincount(self.ring_row, values, len(self.kind))
 
+    def holds(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether each polygon holds the point of its row; of no meaning for other kinds."""
+        return holds(self.xy, self.ring_n, self.ring_row, x, y)
+
     def nowhere(self) -> np.ndarray:
         """Whether each coordinate is the NaN pair of an empty point."""
         return np.isnan(self.xy).all(axis=1) & (self.kind[self.ring_row] == G.POINT)[self.point_ring]

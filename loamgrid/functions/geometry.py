@@ -211,24 +211,21 @@ def st_simplify(wkb: Column, tolerance: float | Column) -> Column:
 
 
 def st_contains_point(wkb: Column, x: Column, y: Column) -> Column:
-    """Whether a polygon holds a point (even-odd rule; a point on an edge may fall either way)."""
-
-    def run(s: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
-        out, last, rings = [], None, []
-        for v, a, b in zip(s, px, py, strict=True):
-            if v is None or a is None or b is None:
-                out.append(None)
-                continue
-            if v != last:
-                last, rings = v, G.parts(G.from_wkb(bytes(v)))
-            inside = False
-            for r in rings:
-                p, q = r, np.roll(r, -1, axis=0)
-                cross = (p[:, 1] > b) != (q[:, 1] > b)
-                with np.errstate(all="ignore"):
-                    at = (q[:, 0] - p[:, 0]) * (b - p[:, 1]) / (q[:, 1] - p[:, 1]) + p[:, 0]
-                inside ^= bool((cross & (a < at)).sum() % 2)
-            out.append(inside)
-        return pd.Series(out, dtype=object)
-
-    return F.pandas_udf(run, T.BooleanType())(wkb, x, y)
+    """Whether the inside of a polygon holds a point (even-odd rule); a point that lies on an edge is not held."""
+
+    def run(shapes: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        out, at = [], 0
+        for part in W.slices(shapes):
+            flat = W.Flat(part)
+            px, py = (np.asarray(v.slice(at, len(part)).fill_null(np.nan)) for v in (x, y))
+            given = np.asarray(x.slice(at, len(part)).is_valid()) & np.asarray(y.slice(at, len(part)).is_valid())
+            held = flat.holds(px, py)
+            for i in np.setdiff1d(np.flatnonzero(flat.valid & given), np.flatnonzero(flat.kind == G.POLYGON)).tolist():
+                rings = G.parts(G.from_wkb(flat.bytes_of(i)))
+                sizes = np.array([len(r) for r in rings], np.int64)
+                held[i] = W.holds(np.concatenate([np.zeros((0, 2)), *rings]), sizes, np.zeros(len(rings), np.int64), px[i : i + 1], py[i : i + 1])[0]
+            out.append(pa.array(held, pa.bool_(), mask=~(flat.valid & given)))
+            at += len(part)
+        return pa.concat_arrays(out)
+
+    return F.arrow_udf(run, T.BooleanType())(wkb, x.cast("double"), y.cast("double"))

@@ -249,9 +249,9 @@ def ext_box_join(spark: S, sf: str) -> DataFrame:
 
 @query(f"SELECT id, count(*) AS n FROM {PTS} p JOIN {CITY} c ON p.lng > c.xmin AND p.lng < c.xmax AND p.lat > c.ymin AND p.lat < c.ymax AND (p.lat - c.ymin) < (p.lng - c.xmin) * 2e0/3e0 - 1e-9 GROUP BY id")
 def ext_points_in_polygons(spark: S, sf: str) -> DataFrame:
-    """Points in the lower right half of each box."""
+    """Points inside the lower right half of each box, 1e-9 and more below its diagonal."""
     c = cities(spark, sf)
-    a, b = M.point(F.col("xmin"), F.col("ymin")), M.point(F.col("xmax"), F.col("ymax"))
+    a, b = M.point(F.col("xmin") + 1.5e-9, F.col("ymin")), M.point(F.col("xmax"), F.col("ymax") - 1e-9)
     wedge = c.select("id", *M.BOX, G.st_polygon(F.array(F.array(a, M.point(F.col("xmax"), F.col("ymin")), b, a))).alias("geometry"))
     pairs = J.points_in_polygons(points(spark, sf), wedge, 4.0, "lng", "lat")
     return pairs.groupBy(F.col("b.id").alias("id")).agg(F.count(F.lit(1)).alias("n"))

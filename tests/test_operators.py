@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from loamgrid.core import geometry as G
 from loamgrid.core.errors import ConvertError, Unsupported
-from loamgrid.functions.geometry import st_point
+from loamgrid.functions.geometry import st_contains_point, st_point
 from loamgrid.operators import profile as P
 from loamgrid.operators import raster as R
 from loamgrid.plans import cli, jobs
@@ -160,3 +161,13 @@ def test_every_query_has_a_stable_schema(spark):
     names = entry.queries()
     assert len(names) >= 60 and set(entry.oracle_sql()) <= set(names)
     assert entry.entry(spark).count() > 0
+
+
+def test_points_on_an_edge_are_not_inside(spark):
+    ring, hole = G.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]), G.array([(1, 1), (2, 1), (2, 2), (1, 2)])
+    one, two = G.Geometry(G.POLYGON, [ring, hole]), G.Geometry(G.MULTIPOLYGON, [[ring, hole], [ring + 10]])
+    places = {(3, 3): True, (0.5, 1): True, (2, 0): False, (0, 2): False, (4, 2): False, (2, 4): False, (4, 4): False, (0, 0): False, (1.5, 1.5): False, (1, 1.5): False, (1.5, 2): False, (5, 1): False}
+    rows = [(bytearray(G.to_wkb(g)), float(x), float(y), held) for g in (one, two) for (x, y), held in places.items()]
+    rows += [(None, 1.0, 1.0, None), (bytearray(G.to_wkb(one)), None, 1.0, None), (bytearray(G.to_wkb(two)), 11.0, 11.0, True), (bytearray(G.to_wkb(G.Geometry(G.POLYGON, []))), 0.0, 0.0, False)]
+    df = spark.createDataFrame(rows, "g binary, x double, y double, held boolean").coalesce(1)
+    assert [r for r in df.withColumn("got", st_contains_point(F.col("g"), F.col("x"), F.col("y"))).collect() if r["got"] != r["held"]] == []
