@@ -72,12 +72,15 @@ def geometry_column(schema: T.StructType, meta: dict) -> str | None:
     return next((n for n in GEOMETRY_NAMES if n in binary), None)
 
 
-def read(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, covering: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, covering: bool = False, place: str | None = None) -> DataFrame:
     """The layer: geometry with its metadata, and the attributes. Covering columns are hidden, unless asked for.
 
     box: keeps rows whose envelope touches it. Files with flat covering columns are filtered in the scan.
+    place: name of a column with the file and the place in it of each row, which sorts as the rows lie.
     """
     df, meta = spark.read.parquet(path), geo_metadata(spark, path)
+    if place:
+        df = df.withColumn(place, F.struct("_metadata.file_path", "_metadata.row_index"))
     name = geometry_column(df.schema, meta)
     _, code, kinds = parse_geo(meta)
     flat = {f.name for f in df.schema if is_flat_bbox(f)}
@@ -142,14 +145,16 @@ def layout(df: DataFrame, geometry: str | None = None, keep_name: bool = False,
     return out, target
 
 
-def hilbert_sorted(df: DataFrame, files: int | None = None) -> DataFrame:
+def hilbert_sorted(df: DataFrame, files: int | None = None, place: str | None = None) -> DataFrame:
     """Rows with covering columns in the order of their centres along the curve over the whole extent.
 
     The rows are written once, since extent, ranges and sort read them three times. Ranges, then a sort inside
-    each, both of which spill; rows without a box come last. A degenerate extent leaves the order as it was.
+    each, both of which spill; rows without a box come last. Rows of one key stay in the order of ``place``, a
+    column that is left out of the result; a scan of several files does not hand them out in their order, so that
+    the order of the frame itself is taken only where there is none. A degenerate extent leaves the order as it was.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, "layout")
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    numbered = df.withColumnRenamed(place, "_row") if place else df.withColumn("_row", F.monotonically_increasing_id())
     numbered.write.parquet(path)
     own = spark.read.schema(numbered.schema).parquet(path)
     row = own.agg(*union_bbox()).first()
@@ -167,11 +172,12 @@ def geo_json(name: str, kind: str | None, epsg: int | None, add_bbox: bool) -> s
     return json.dumps({"version": "1.1.0", "primary_column": name, "columns": {name: column}})
 
 
-def write(df: DataFrame, path: str, geometry: str | None = None, keep_name: bool = False, add_bbox: bool = True, hilbert: bool = False, batch_rows: int = BATCH_ROWS, compression: str = COMPRESSION, epsg: int | None = None, files: int | None = None, mode: str = "overwrite") -> None:
+def write(df: DataFrame, path: str, geometry: str | None = None, keep_name: bool = False, add_bbox: bool = True, hilbert: bool = False, batch_rows: int = BATCH_ROWS, compression: str = COMPRESSION, epsg: int | None = None, files: int | None = None, place: str | None = None, mode: str = "overwrite") -> None:
+    """place: of ``hilbert_sorted``."""
     spark = df.sparkSession
     out, name = layout(df, geometry, keep_name, add_bbox or hilbert)
     if hilbert:
-        out = hilbert_sorted(out, files)
+        out = hilbert_sorted(out, files, place)
     meta = out.schema[name].metadata
     spark.dataSource.register(GeoParquetSink)
     geo = geo_json(name, meta.get("kind"), epsg or meta.get("epsg"), add_bbox or hilbert)

@@ -171,3 +171,14 @@ def test_points_on_an_edge_are_not_inside(spark):
     rows += [(None, 1.0, 1.0, None), (bytearray(G.to_wkb(one)), None, 1.0, None), (bytearray(G.to_wkb(two)), 11.0, 11.0, True), (bytearray(G.to_wkb(G.Geometry(G.POLYGON, []))), 0.0, 0.0, False)]
     df = spark.createDataFrame(rows, "g binary, x double, y double, held boolean").coalesce(1)
     assert [r for r in df.withColumn("got", st_contains_point(F.col("g"), F.col("x"), F.col("y"))).collect() if r["got"] != r["held"]] == []
+
+
+def test_optimize_keeps_the_source_order_of_rows_of_one_key(spark, tmp_path):
+    """The second file is the largest, so that a scan hands it out first."""
+    a, b = str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")
+    rows = places(spark, [(i, 5.0 + (i % 2), 5.0 + (i % 2)) for i in range(4000)]).withColumn("text", F.when(F.col("id") > 3000, F.sha2(F.col("id").cast("string"), 512)))
+    geoparquet.write(rows.repartitionByRange(2, "id").sortWithinPartitions("id"), a)
+    jobs.optimize(spark, a, b, files=1)
+    got = [r["id"] for r in geoparquet.read(spark, b).coalesce(1).collect()]
+    assert got == sorted(range(4000), key=lambda i: (i % 2, i))
+    assert geoparquet.read(spark, b).columns == geoparquet.read(spark, a).columns
