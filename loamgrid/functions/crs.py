@@ -15,6 +15,7 @@ import re
 from typing import Any, NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,6 +198,16 @@ class _Arrays:
         return np.clip(x, low, high)
 
 
+class _Doubles:
+    """The same over Python's floats, which go through the C library."""
+
+    sin, cos, tan, sinh, cosh, asinh, atanh, atan, atan2, exp, log, sqrt, radians, degrees = (staticmethod(getattr(math, n)) for n in "sin cos tan sinh cosh asinh atanh atan atan2 exp log sqrt radians degrees".split())
+
+    @staticmethod
+    def clamp(x: float, low: float, high: float) -> float:
+        return max(low, min(high, x))
+
+
 def mercator_forward(lng: Any, lat: Any, m: Any = _Columns) -> tuple[Any, Any]:
     """Longitude and latitude to metres; the latitude is clamped to the square map."""
     return RADIUS * m.radians(lng), RADIUS * m.log(m.tan(math.pi / 4 + m.radians(m.clamp(lat, -MAX_LATITUDE, MAX_LATITUDE)) / 2))
@@ -259,6 +270,25 @@ def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, C
     return moved["x"], moved["y"]
 
 
+def transform_in_c(x: Column, y: Column, source: int, target: int) -> Column:
+    """struct<x, y>: the transform by the C library's functions, as engines in C compute it; null where it fails.
+
+    Java's differ from them in the last bits. Slow, one point at a time: for the rows that these bits decide.
+    """
+    a, b = projection(source), projection(target)
+
+    def one(x: float | None, y: float | None) -> dict | None:
+        try:
+            return None if x is None or y is None else dict(zip("xy", _leg(b, True, *_leg(a, False, x, y, _Doubles), _Doubles), strict=True))
+        except (ValueError, OverflowError, ZeroDivisionError):
+            return None
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([one(*p) for p in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.struct({"x": pa.float64(), "y": pa.float64()}))
+
+    return F.arrow_udf(run, "x double, y double")(x, y)
+
+
 class Transformer(NamedTuple):
     """A pair of systems; both codes are checked when it is made."""
 

@@ -35,6 +35,11 @@ def q(v: Column, scale: float = 1e2) -> Column:
     return F.floor(v * scale + 0.5).cast("long")
 
 
+def undecided(v: Column, scale: float = 1e2) -> Column:
+    """Whether ``q`` of a value hangs on its last bits, in which engines' functions differ."""
+    return F.abs(v * scale - F.floor(v * scale) - 0.5) < 1e-4
+
+
 def sq(v: str, scale: str = "1e2") -> str:
     return f"CAST(floor(({v}) * {scale} + 5e-1) AS BIGINT)"
 

@@ -8,7 +8,7 @@ from loamgrid.functions import index as I
 from loamgrid.functions import measure as M
 from loamgrid.functions import tiles as T
 from loamgrid.functions import values as V
-from loamgrid.queries.base import BXS, PTS, boxes, hilbert_sql, points, q, query, sq, table
+from loamgrid.queries.base import BXS, PTS, boxes, hilbert_sql, points, q, query, sq, table, undecided
 
 R, TOP = "6378137e0", "85.05112877980659e0"
 CLAMP = f"greatest(-{TOP}, least({TOP}, lat))"
@@ -64,8 +64,12 @@ ENS = f"(SELECT k, 5e5 + lng*1e3 AS x, lat*1e5 AS y FROM {PTS})"
 
 @query(f"SELECT k, {sq('lng', '1e7')} AS lng_e7, {sq('lat', '1e7')} AS lat_e7 FROM {_tm_inverse_sql(C.projection(32633), 'x', 'y', ENS, 'k')}")
 def crs14_utm_inverse(spark: S, sf: str) -> DataFrame:
-    a, b = C.transform(500000.0 + F.col("lng") * 1e3, F.col("lat") * 1e5, 32633, 4326)
-    return points(spark, sf).select("k", q(a, 1e7).alias("lng_e7"), q(b, 1e7).alias("lat_e7"))
+    """Places at which the rounding hangs on the last bits are computed once more, by the C library as in the SQL's engine."""
+    grid = points(spark, sf).select("k", (500000.0 + F.col("lng") * 1e3).alias("x"), (F.col("lat") * 1e5).alias("y"))
+    a, b = C.transform(F.col("x"), F.col("y"), 32633, 4326)
+    near = undecided(F.col("a"), 1e7) | undecided(F.col("b"), 1e7)
+    moved = grid.withColumns({"a": a, "b": b}).withColumn("c", C.transform_in_c(F.when(near, F.col("x")), F.when(near, F.col("y")), 32633, 4326))
+    return moved.select("k", q(F.coalesce("c.x", "a"), 1e7).alias("lng_e7"), q(F.coalesce("c.y", "b"), 1e7).alias("lat_e7"))
 
 
 MGA = _tm_inverse_sql(C.projection(7855), "x", "y", f"(SELECT k, 5e5 + lng*1e3 AS x, 5e6 + lat*1e4 AS y FROM {PTS})", "k")

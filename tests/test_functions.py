@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from loamgrid.core.errors import CrsError, SchemaError
 from loamgrid.core.geometry import Geometry, array, to_wkb
 from loamgrid.functions import affine as A
@@ -45,6 +46,16 @@ def test_columns_and_arrays_agree_and_come_back(spark, a, b):
         assert C.transform_array(moved, b, a)[0] == pytest.approx(start[0], abs=1e-6)
 
 
+def test_rounding_at_a_tie_agrees_with_the_sql(spark, tmp_path):
+    """The latitude of the first key is 62.76126555 degrees but for some 1e-14, on either side by the engine's functions."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(k,) for k in (4307788, 1, 2, 3)], "o_orderkey long").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    found = entry.queries()["crs14_utm_inverse"](spark, str(tmp_path)).orderBy("k").collect()
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+        assert [tuple(r) for r in found] == c.execute(f"SELECT * FROM ({entry.oracle_sql()['crs14_utm_inverse']}) ORDER BY k").fetchall()
+
+
 def test_codes():
     assert C.parse_crs("EPSG:7855") == C.parse_crs("epsg:7855") == C.parse_crs("7855") == 7855
     with pytest.raises(CrsError):
