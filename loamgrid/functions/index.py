@@ -1,39 +1,50 @@
 """Ordering keys: quantising, Hilbert distances and tile ids, as column expressions.
 
 Over a grid of a fixed order the curve is walked in compiled arithmetic, a lookup in one 64-bit number for
-each bit; where the order is a column, by an aggregate over the bit positions. Keys that cannot be computed
-are null and sort last.
+each bit; where the order is a column, and back from a distance, by an Arrow function over whole batches, bit by
+bit. Keys that cannot be computed are null and sort last.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamgrid.functions.measure import finite
 
 ORDER = 16
 MAX_ZOOM = 31
+CELL = T.StructType([T.StructField(n, T.LongType()) for n in "xy"])
+TILE = T.StructType([T.StructField("z", T.IntegerType()), *CELL])
 
 
 def hilbert(x: Column, y: Column, order: int | Column = ORDER) -> Column:
     """Distance along the Hilbert curve over a grid of 2**order cells to a side."""
     if isinstance(order, int):
         return _compiled(x, y, order)
-    n = order
-    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+    return _distances(x.cast("long"), y.cast("long"), order.cast("long"))
 
-    def step(s: Column, k: Column) -> Column:
-        cell = F.call_function("shiftleft", F.lit(1).cast("long"), k)
-        rx = (s["x"].bitwiseAND(cell) > 0).cast("long")
-        ry = (s["y"].bitwiseAND(cell) > 0).cast("long")
-        d = s["d"] + cell * cell * (3 * rx).bitwiseXOR(ry)
-        mask = cell - 1
-        flip = (ry == 0) & (rx == 1)
-        fx = F.when(flip, mask - s["x"].bitwiseAND(mask)).otherwise(s["x"].bitwiseAND(mask))
-        fy = F.when(flip, mask - s["y"].bitwiseAND(mask)).otherwise(s["y"].bitwiseAND(mask))
-        return F.struct(F.when(ry == 0, fy).otherwise(fx).alias("x"), F.when(ry == 0, fx).otherwise(fy).alias("y"), d.alias("d"))
 
-    bits = F.when(n > 0, F.sequence(n - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(bits, start, step, lambda s: s["d"])
+def _numbers(*columns: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns as arrays of their own, and which rows have a null in none."""
+    valid = np.logical_and.reduce([np.asarray(c.is_valid()) for c in columns])
+    return [np.array(c.fill_null(0), np.int64) for c in columns], valid
+
+
+@F.arrow_udf(T.LongType())
+def _distances(x: pa.Array, y: pa.Array, order: pa.Array) -> pa.Array:
+    (x, y, n), valid = _numbers(x, y, order)
+    n = np.clip(n, 0, MAX_ZOOM)
+    x, y, d = x & (1 << n) - 1, y & (1 << n) - 1, np.zeros(len(x), np.int64)
+    for k in range(int(n.max(initial=0)) - 1, -1, -1):
+        rx, ry, mask = x >> k & 1, y >> k & 1, (1 << k) - 1
+        d += (3 * rx ^ ry) << 2 * k
+        x, y = x & mask, y & mask
+        flip, turn = (ry == 0) & (rx == 1), (ry == 0) & (n > k)
+        x, y = np.where(flip, mask - x, x), np.where(flip, mask - y, y)
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+    return pa.array(d, pa.int64(), mask=~valid)
 
 
 def _turns() -> int:
@@ -63,21 +74,30 @@ def _compiled(x: Column, y: Column, order: int) -> Column:
     return total + (x.cast("long") + y.cast("long")) * 0
 
 
-def hilbert_inverse(d: Column, order: Column) -> Column:
-    """struct<x, y> of a distance."""
-    start = F.struct(d.cast("long").alias("t"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+def _cells(d: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of distances."""
+    t, x, y = d.copy(), np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
+    for k in range(int(order.max(initial=0))):
+        rx = t >> 1 & 1
+        ry = (t ^ rx) & 1
+        on, mask = order > k, (1 << k) - 1
+        flip, turn = on & (ry == 0) & (rx == 1), on & (ry == 0)
+        x, y = np.where(flip, mask - x, x), np.where(flip, mask - y, y)
+        x, y = np.where(turn, y, x) + np.where(on, rx << k, 0), np.where(turn, x, y) + np.where(on, ry << k, 0)
+        t >>= 2
+    return x, y
+
 
-    def step(s: Column, k: Column) -> Column:
-        cell = F.call_function("shiftleft", F.lit(1).cast("long"), k)
-        rx = F.call_function("shiftright", s["t"], F.lit(1)).bitwiseAND(F.lit(1).cast("long"))
-        ry = s["t"].bitwiseXOR(rx).bitwiseAND(F.lit(1).cast("long"))
-        flip = (ry == 0) & (rx == 1)
-        fx = F.when(flip, cell - 1 - s["x"]).otherwise(s["x"])
-        fy = F.when(flip, cell - 1 - s["y"]).otherwise(s["y"])
-        return F.struct(F.call_function("shiftright", s["t"], F.lit(2)).alias("t"), (F.when(ry == 0, fy).otherwise(fx) + cell * rx).alias("x"), (F.when(ry == 0, fx).otherwise(fy) + cell * ry).alias("y"))
+@F.arrow_udf(CELL)
+def _places(d: pa.Array, order: pa.Array) -> pa.Array:
+    (d, n), valid = _numbers(d, order)
+    x, y = _cells(d, np.clip(n, 0, MAX_ZOOM))
+    return pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"], mask=pa.array(~valid))
 
-    bits = F.when(order > 0, F.sequence(F.lit(0), order - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(bits, start, step, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
+
+def hilbert_inverse(d: Column, order: Column) -> Column:
+    """struct<x, y> of a distance."""
+    return _places(d.cast("long"), order.cast("long"))
 
 
 def quantize(v: Column, low: Column, high: Column, order: int = ORDER) -> Column:
@@ -108,14 +128,16 @@ def tile_id(z: Column | int, x: Column, y: Column) -> Column:
     return F.when(good, _below(z) + hilbert(x, y, z))
 
 
-def tile_of_id(i: Column) -> Column:
-    """struct<z, x, y> of a tile id."""
-    levels = F.filter(F.sequence(F.lit(0), F.lit(MAX_ZOOM)), lambda z: _below(z) <= i)
+@F.arrow_udf(TILE)
+def _tiles(i: pa.Array) -> pa.Array:
+    (i,), valid = _numbers(i)
+    below = np.array([((1 << 2 * z) - 1) // 3 for z in range(MAX_ZOOM + 1)], np.int64)
+    valid &= (i >= 0) & (i < below[-1] + (1 << 2 * MAX_ZOOM))
+    z = np.searchsorted(below, np.where(valid, i, 0), "right") - 1
+    x, y = _cells(np.where(valid, i, 0) - below[z], z)
+    return pa.StructArray.from_arrays([pa.array(z, pa.int32()), pa.array(x), pa.array(y)], ["z", "x", "y"], mask=pa.array(~valid))
 
-    def place(t: Column) -> Column:
-        p = hilbert_inverse(t["i"] - _below(t["z"]), t["z"])
-        bound = F.transform(F.array(p), lambda p: F.struct(t["z"].cast("int").alias("z"), p["x"].alias("x"), p["y"].alias("y")))
-        return bound[0]
 
-    found = F.transform(F.array(F.struct(i.alias("i"), F.array_max(levels).alias("z"))), place)[0]
-    return F.when(i >= 0, found)
+def tile_of_id(i: Column) -> Column:
+    """struct<z, x, y> of a tile id; null for numbers that are none."""
+    return _tiles(i.cast("long"))

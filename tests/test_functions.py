@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from loamgrid.functions import index as I
 from loamgrid.functions import measure as M
 from loamgrid.functions import tiles as T
 from loamgrid.functions import values as V
+from loamgrid.sources import pmtiles
 
 
 def row(spark, *columns):
@@ -89,6 +91,21 @@ def test_tile_ids(spark):
     assert all(r["id"] == r["again"] for r in back)
 
 
+def test_tile_ids_of_all_levels_there_and_back(spark):
+    """Against the plain walk of one tile; 200,000 ids there and back take seconds, not minutes."""
+    ids = [pmtiles.tile_id(z, (x * 2654435761) % (1 << z), (x * 40503 + 17) % (1 << z)) for z in range(32) for x in (0, 1, 12345, 987654321)]
+    last = pmtiles.tile_id(31, (1 << 31) - 1, 0)
+    rows = spark.createDataFrame([(i,) for i in [*ids, last, last + 1, -1, None]], "i long").coalesce(1).select("i", I.tile_of_id(F.col("i")).alias("t"))
+    for r in rows.withColumn("again", I.tile_id(F.col("t.z"), F.col("t.x"), F.col("t.y"))).collect():
+        known = r["i"] is not None and 0 <= r["i"] <= last
+        assert (tuple(r["t"]), r["again"]) == (pmtiles.tile_of(r["i"]), r["i"]) if known else (r["t"], r["again"]) == (None, None)
+    began, k = time.time(), F.col("id")
+    n = T.per_side((3 + k % 9).cast("int"))
+    t = spark.range(200_000).select((k * 13 % n).alias("x"), (k * 7 % n).alias("y"), I.tile_of_id(I.tile_id((3 + k % 9).cast("int"), k * 13 % n, k * 7 % n)).alias("t"))
+    assert t.where("t.x = x and t.y = y").count() == 200_000
+    assert time.time() - began < 20
+
+
 def test_quantize(spark):
     nan, inf = float("nan"), float("inf")
     q = lambda v, a=0.0, b=10.0: I.quantize(F.lit(v), F.lit(a), F.lit(b))
