@@ -1,21 +1,24 @@
 """Joins by place. Each is an equality join on grid cells or tiles, with an exact test behind it.
 
-Cells have levels, each of twice the size of the one below. A box lies on the level whose cells are at least as
-large as itself, so that it touches four of them at most, however large it is; it meets larger boxes on their
-level. A pair of boxes that share several cells is kept in one only: the cell of the north-western corner of
-their common part. Cells far more crowded than others are split by the adaptive planner or, for a known
-hot cell, by ``salt``.
+Cells have levels, each of twice the size of the one below. A box lies on the first level on which it is at most
+``ACROSS`` cells wide and high, so that it touches 81 of them at most, however large it is, and its cells cover little
+more than itself; it meets larger boxes on their level. A pair of boxes that share several cells is kept in one only:
+the cell of the north-western corner of their common part. Cells far more crowded than others are split by the
+adaptive planner or, for a known hot cell, by ``salt``.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions.geometry import st_contains_point
-from loamgrid.functions.measure import BOX, boxes_intersect
+from loamgrid.functions.measure import BOX
+
+
+ACROSS = 8
 
 
 def _level(size: float) -> Column:
-    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) / size
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) / (size * ACROSS)
     return F.when(side > 1, F.ceil(F.log2(side))).otherwise(0).cast("int")
 
 
@@ -38,12 +41,22 @@ def _in_cells(df: DataFrame, size: float, others: list[int]) -> DataFrame:
 
 def box_join(left: DataFrame, right: DataFrame, size: float, salt: int = 1) -> DataFrame:
     """Pairs whose boxes touch, as columns under a. and b. (structs). size: of the smallest cells, about that of a usual box."""
-    keys, place = ["_l", "_cx", "_cy", "_s"], F.pmod(F.xxhash64(*BOX), F.lit(salt)).cast("int")
-    a = _in_cells(left.select(F.struct("*").alias("a"), *BOX), size, _levels(right, size)).select("a", "_l", "_cx", "_cy", F.col("_own").alias("_oa"), place.alias("_s"))
-    b = _in_cells(right.select(F.struct("*").alias("b"), *BOX), size, _levels(left, size)).select("b", "_l", "_cx", "_cy", F.col("_own").alias("_ob"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_s"))
-    pairs = a.join(b, keys).where(boxes_intersect("a", "b")).where("_l = greatest(_oa, _ob)")
-    first = (F.floor(F.greatest("a.xmin", "b.xmin") / _size(size)) == F.col("_cx")) & (F.floor(F.greatest("a.ymin", "b.ymin") / _size(size)) == F.col("_cy"))
-    return pairs.where(first).select("a", "b")
+    place = F.pmod(F.xxhash64(*BOX), F.lit(salt)).cast("int")
+
+    def side(df: DataFrame, name: str, others: list[int], dealt: Column) -> DataFrame:
+        """What pairs are tested by lies flat beside the struct; one hash stands for the cell in the sort."""
+        each = _in_cells(df.select(F.struct("*").alias(name), *BOX), size, others).withColumn("_s", dealt)
+        first = [F.floor(F.col(c) / _size(size)).alias(f"_{name}{c}_first") for c in ("xmin", "ymin")]
+        own = [F.col(c).alias(f"_{name}{c}") for c in BOX]
+        return each.select(name, F.xxhash64("_l", "_cx", "_cy", "_s").alias("_key"), *[F.col(c).alias(f"_{name}{c}") for c in ("_l", "_cx", "_cy", "_s", "_own")], *own, *first)
+
+    a = side(left, "a", _levels(right, size), place)
+    b = side(right, "b", _levels(left, size), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    touch = (F.col("_axmin") <= F.col("_bxmax")) & (F.col("_axmax") >= F.col("_bxmin")) & (F.col("_aymin") <= F.col("_bymax")) & (F.col("_aymax") >= F.col("_bymin"))
+    same = (F.col("_a_cx") == F.col("_b_cx")) & (F.col("_a_cy") == F.col("_b_cy")) & (F.col("_a_l") == F.col("_b_l")) & (F.col("_a_s") == F.col("_b_s"))
+    first = (F.greatest("_axmin_first", "_bxmin_first") == F.col("_a_cx")) & (F.greatest("_aymin_first", "_bymin_first") == F.col("_a_cy"))
+    level = F.col("_a_l") == F.greatest("_a_own", "_b_own")
+    return a.join(b.hint("merge"), "_key").where(touch & first & level & same).select("a", "b")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, x: str = "x", y: str = "y", salt: int = 1) -> DataFrame:

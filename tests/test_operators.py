@@ -11,6 +11,7 @@ from loamgrid.core.errors import ConvertError, Unsupported
 from loamgrid.functions.geometry import st_contains_point, st_point
 from loamgrid.operators import profile as P
 from loamgrid.operators import raster as R
+from loamgrid.operators import spatial_join as J
 from loamgrid.plans import cli, jobs
 from loamgrid.sources import geojson, geoparquet, geotiff
 from loamgrid.streaming import windows as W
@@ -182,3 +183,14 @@ def test_optimize_keeps_the_source_order_of_rows_of_one_key(spark, tmp_path):
     got = [r["id"] for r in geoparquet.read(spark, b).coalesce(1).collect()]
     assert got == sorted(range(4000), key=lambda i: (i % 2, i))
     assert geoparquet.read(spark, b).columns == geoparquet.read(spark, a).columns
+
+
+def test_cells_of_large_boxes_cover_little_more_than_them(spark):
+    """Boxes of 90 x 20 among small ones: few cells, little beside them, and the pairs of a plain comparison."""
+    rows = [(i, float(i * 37 % 200 - 100), float(i * 53 % 120 - 60)) for i in range(300)]
+    box = [(i, x, y, x + (90.0 if i % 10 == 0 else 1.0), y + (20.0 if i % 10 == 0 else 0.5)) for i, x, y in rows]
+    df = spark.createDataFrame(box, "id int, xmin double, ymin double, xmax double, ymax double")
+    cells = J._in_cells(df.where("id % 10 = 0"), 1.0, []).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pow(F.lit(4.0), "_l")).alias("area")).collect()
+    assert len(cells) == 30 and all(r["n"] <= 81 and r["area"] <= 4 * 90 * 20 for r in cells)
+    got = [(r["i"], r["j"]) for r in J.box_join(df, df, 1.0, salt=2).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).collect()]
+    assert sorted(got) == [(a[0], b[0]) for a in box for b in box if a[1] <= b[3] and a[3] >= b[1] and a[2] <= b[4] and a[4] >= b[2]]
