@@ -43,6 +43,7 @@ SLOTS = BANDS * BAND_ROWS
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 PHASES = ((0, 5), (5, BANDS))  #: bands whose buckets are gone through together
 MAX_PART, PART_CHARS = 4000, 16 << 20  #: nodes and characters of a bucket's part
+FEW = 250_000  #: links whose components one task finds; more go by steps over the cluster
 TOGETHER = 256  #: documents signed by one set of array operations
 
 
@@ -231,13 +232,33 @@ def linked_in_buckets(placed: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.groupBy("pos", "band", "s", "t").applyInArrow(run, "a long, b long")
 
 
+def roots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, root) of the nodes of edges (u, v) that are not the smallest of their component."""
+    up: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (j := up.get(i, i)) != i:
+            up[i] = up.get(j, j)
+            i = j
+        return i
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = top(u), top(v)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(i) for i in list(up)], pa.int64())], ["v", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(v, root) of every node of ``links`` (a, b): the smallest node that can be reached.
+    """(v, root) of the nodes of ``links`` (a, b) that have a smaller one in reach: the smallest.
 
-    Alternating large-star and small-star steps; each result is written, so that no plan grows and no
-    step is lost with an executor.
+    Links that fit a task with ease (``FEW``) are joined in one. Else alternating large-star and small-star
+    steps; each result is written, so that no plan grows and no step is lost with an executor.
     """
-    edges = store(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges, seen = store_and_sum(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", F.count(F.lit(1)).alias("n"))
+    if seen.get("n", 0) <= FEW:
+        return store(edges.coalesce(1).mapInArrow(roots_of, "v long, root long"), "roots")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

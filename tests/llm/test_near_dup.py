@@ -130,3 +130,16 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty_table(nothing):
     assert N.near_duplicates(nothing).count() == 0 and N.keep_one(nothing).count() == 0
+
+
+def test_few_links_are_joined_in_one_task(spark, monkeypatch):
+    """The same components as by steps over the cluster, in a few jobs."""
+    rnd = random.Random(5)
+    links = spark.createDataFrame([(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(7, 7)] + [(k, k + 1) for k in range(1000, 1200)], "a long, b long")
+    spark.sparkContext.setJobGroup("few", "few")
+    few = sorted(map(tuple, N.components(links).collect()))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) < 8
+    spark.sparkContext.setJobGroup("", "")
+    monkeypatch.setattr(N, "FEW", -1)
+    assert few == sorted(map(tuple, N.components(links).collect()))
+    assert N.components(links.limit(0)).count() == 0
