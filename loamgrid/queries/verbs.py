@@ -363,19 +363,30 @@ def ras21_warp(spark: S, sf: str) -> DataFrame:
 
 
 def decoded(tiles: DataFrame) -> DataFrame:
-    """(z, x, y, layer, fid, type, commands, properties) of every feature of encoded tiles (z, x, y, data)."""
+    """(z, x, y, layer, fid, type, commands, properties) of every feature of encoded tiles (z, x, y, data).
 
-    def run(batches):
+    A task cuts a tile into its features; they are dealt anew and read one by one, so that a large tile is many tasks.
+    """
+
+    def cut(batches):
+        names = ["z", "x", "y", "layer", "feature", "properties"]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.map_(pa.string(), pa.string()))
         for batch in batches:
-            rows = []
             for z, x, y, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for name, layer in VT.decode(data).items():
-                    rows += [(z, x, y, name, f["id"], f["type"], f["commands"], [(k, str(v)) for k, v in f["properties"].items()]) for f in layer["features"]]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["z", "x", "y", "layer", "fid", "type", "commands", "properties"])
+                for name, _, keys, values, raw in VT.split(data):
+                    for at in range(0, len(raw), 10_000):
+                        few = raw[at : at + 10_000]
+                        found = [[(k, str(v)) for k, v in VT.properties(f, keys, values).items()] for f in few]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([z] * len(few), [x] * len(few), [y] * len(few), [name] * len(few), few, found), kinds, strict=True)], names)
+
+    def read(batches):
+        for batch in batches:
+            each = [VT.feature(f) for f in batch.column(4).to_pylist()]
+            own = [pa.array([f[n] for f in each], t) for n, t in (("id", pa.int64()), ("type", pa.int32()), ("commands", pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *own, batch.column(5)], ["z", "x", "y", "layer", "fid", "type", "commands", "properties"])
 
-    return tiles.select("z", "x", "y", "data").mapInArrow(run, "z int, x long, y long, layer string, fid long, type int, commands array<long>, properties map<string,string>")
+    features = tiles.select("z", "x", "y", "data").mapInArrow(cut, "z int, x long, y long, layer string, feature binary, properties map<string,string>")
+    return features.repartition("feature").mapInArrow(read, "z int, x long, y long, layer string, fid long, type int, commands array<long>, properties map<string,string>")
 
 
 def _unzigzag(v):

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from loamgrid.core import geometry as G
 from loamgrid.core import wkbarray as W
+from loamgrid.operators import vector_tiles as VT
 
 number = st.floats(-1e6, 1e6) | st.sampled_from([0.0, float("inf"), float("nan")])
 pairs = st.lists(st.tuples(number, number), max_size=6)
@@ -72,3 +73,31 @@ def test_bytes_that_are_no_plain_geometry_are_named():
     wkb = pa.array([line, line[:-1], big, b"", b"\x01", line + b"x", None, G.to_wkb(G.Geometry(G.POLYGON, [G.array([(0, 0)] * 3)] * 80))], pa.binary())
     flat = W.Flat(wkb)
     assert flat.others.tolist() == [1, 2, 3, 4, 5, 7] and flat.kind.tolist() == [2, 0, 0, 0, 0, 0, 0, 0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(shapes, max_size=12), st.integers(0, 6))
+def test_paths_of_many_rows_agree_with_single_ones(found, z):
+    """The commands of plain points and lines, all at once; the other rows are left to the caller."""
+    wkb = pa.array([None if g is None else G.to_wkb(g) for g in found], pa.binary())
+    flat, own = W.Flat(wkb), [None if g is None else G.from_wkb(G.to_wkb(g)) for g in found]
+    rows = np.arange(len(found))
+    levels, x, y = np.full(len(found), z), rows % (1 << z), rows * 3 % (1 << z)
+    paths = VT.flat_paths(flat, levels, x, y)
+    plain = [i for i, g in enumerate(own) if g is not None and g.kind in (G.POINT, G.LINESTRING) and len(g.data) and np.isfinite(g.data).all()]
+    assert sorted(paths) == plain
+    assert all(paths[i] == VT.packed(VT.commands(own[i], z, int(x[i]), int(y[i]))) for i in plain)
+
+
+def test_geometry_is_encoded_before_a_tile_meets_in_one_task(spark):
+    """What is dealt to the tiles' tasks are encoded features; the tile is the one that a plain layer makes."""
+    line = lambda k: G.Geometry(G.LINESTRING, G.array([(k, 1), (k + 1, 2), (k % 7, -3)]))
+    rows = [(k, bytearray(G.to_wkb(line(k))), 0, 0, 0, f"n{k % 3}") for k in range(50)] + [(50, None, 0, 0, 0, "none"), (51, bytearray(G.to_wkb(G.Geometry(G.POLYGON, [line(1).data]))), 0, 0, 0, None)]
+    tiles = VT.encode(spark.createDataFrame(rows, "fid long, geometry binary, z int, x long, y long, name string").coalesce(1), "lines")
+    plan = tiles._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.index("MapInArrow") < plan.index("RepartitionByExpression") < plan.rindex("MapInArrow")
+    one = tiles.collect()
+    plain = VT.Layer("lines", 0, 0, 0)
+    for fid, g, *_, name in rows:
+        plain.add(None if g is None else G.from_wkb(bytes(g)), [("name", name)], fid)
+    assert len(one) == 1 and one[0]["n_features"] == 51 and bytes(one[0]["data"]) == VT.tile_bytes([plain.finish()])
