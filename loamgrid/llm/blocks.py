@@ -199,7 +199,7 @@ def shared_down(merge: Merge, share: Share, kind: np.dtype, dtype: np.dtype, now
 def ask(blocks: DataFrame, keys: Callable[[bytes], np.ndarray], n: int, name: str | None = None, by: list[str] | None = None) -> DataFrame:
     """(block, p, data): what ``keys`` makes of a block, dealt by the first field modulo n. Written under a name if it is read more than once.
 
-    keys: gives a structured array, sorted by its first field, a uint64. by: an int column of the blocks by which the rows are filed.
+    keys: gives a structured array, sorted by its first field, a uint64. by: int columns of the blocks that the rows keep.
     """
     by = by or []
 
@@ -214,7 +214,7 @@ def ask(blocks: DataFrame, keys: Callable[[bytes], np.ndarray], n: int, name: st
                     yield out
 
     asked = blocks.select("block", "payload", *by).mapInArrow(run, ASK + "".join(f", {c} int" for c in by))
-    return store(asked, name, "none", by) if name else asked
+    return store(asked, name, "none") if name else asked
 
 
 def part_of(found: np.ndarray, before: int, n: int) -> np.ndarray:
@@ -243,8 +243,8 @@ def rows_of(block: int, parts: list[np.ndarray], part: int = 0, before: int = 1)
     return pa.RecordBatch.from_arrays([pa.array([block] * len(full), pa.int64()), pa.array([p for p, _ in full], pa.int32()), pa.array([d for _, d in full], pa.binary())], ["block", "p", "data"])
 
 
-def answer(asked: DataFrame, reply: Callable[[int, list[np.ndarray]], list[np.ndarray]], dtype: np.dtype, name: str) -> DataFrame:
-    """(block, p, data): for each partition ``reply(p, arrays of all blocks)``, an array for each block, and perhaps one more for itself. Written."""
+def answer(asked: DataFrame, reply: Callable[[int, list[np.ndarray]], list[np.ndarray]], dtype: np.dtype, name: str | None) -> DataFrame:
+    """(block, p, data): for each partition ``reply(p, arrays of all blocks)``, an array for each block, and perhaps one more for itself. Written under a name if it is read more than once."""
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("block").to_numpy(), kind="stable")
@@ -255,7 +255,8 @@ def answer(asked: DataFrame, reply: Callable[[int, list[np.ndarray]], list[np.nd
         numbers += [SUMMARY] * (len(out) - len(numbers))
         return pa.table({"block": pa.array(numbers, pa.int64()), "p": pa.array([p] * len(out), pa.int32()), "data": pa.array([squeeze(x) for x in out], pa.binary())})
 
-    return store(asked.groupBy("p").applyInArrow(run, ASK), name, "none")
+    found = asked.groupBy("p").applyInArrow(run, ASK)
+    return store(found, name, "none") if name else found
 
 
 def meet(blocks: DataFrame, answers: DataFrame, n: int, then: Callable[[int, bytes, dict[int, bytes]], Iterator[pa.RecordBatch] | pa.Table], schema: str) -> DataFrame:

@@ -56,15 +56,15 @@ def tidied(spark: SparkSession):
     del _MADE[first:]
 
 
-def written(df: DataFrame, path: str, codec: str = "zstd", by: list[str] | None = None) -> DataFrame:
-    """Writes the frame to a path, in a folder for each value of ``by``, and returns the reading of it."""
-    df.write.option("compression", codec).partitionBy(*by or []).parquet(path)
+def written(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
+    """Writes the frame to a path and returns the reading of it."""
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def store(df: DataFrame, name: str, codec: str = "zstd", by: list[str] | None = None) -> DataFrame:
+def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``written`` to a path of its own in the shared folder."""
-    return written(df, scratch(df.sparkSession, name), codec, by)
+    return written(df, scratch(df.sparkSession, name), codec)
 
 
 def store_and_sum(df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, dict]:

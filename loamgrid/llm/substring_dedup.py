@@ -172,20 +172,25 @@ class FingerprintIndex:
 
     def __init__(self, spark):
         self.spark = spark
-        self.runs: list[DataFrame] = []
+        self.runs: list[DataFrame | tuple[DataFrame, int]] = []
 
-    def append(self, flushed: DataFrame) -> None:
-        """Adds a batch's arrays as a run; too many runs are compacted."""
-        self.runs.append(flushed)
+    def append(self, flushed: DataFrame, batch: int | None = None) -> None:
+        """Adds a batch's arrays as a run: the table, or its rows of one ``grp``; too many runs are compacted."""
+        self.runs.append(flushed if batch is None else (flushed, batch))
         if len(self.runs) > FAN_IN:
             self.compact()
 
     def history(self) -> DataFrame:
-        if not self.runs:
+        """The rows of all runs. Runs of one table are read from it in one pass: no run needs files of its own."""
+        tables = [r for r in self.runs if isinstance(r, DataFrame)]
+        shared = [r for r in self.runs if not isinstance(r, DataFrame)]
+        for table in {id(t): t for t, _ in shared}.values():
+            tables.append(table.where(F.col("grp").isin([g for t, g in shared if t is table])).drop("grp"))
+        if not tables:
             return self.spark.createDataFrame([], B.ASK)
-        out = self.runs[0]
-        for r in self.runs[1:]:
-            out = out.unionByName(r)
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
         return out
 
     def compact(self) -> None:
@@ -239,11 +244,11 @@ def dedup(docs: DataFrame, batches: int = BATCHES, texts: bool = False) -> DataF
     spark = docs.sparkSession
     blocks = B.in_blocks(docs, normalise, "blocks", lambda doc: zlib.crc32(str(doc).encode()) % batches)
     ladder = B.Ladder(blocks)
-    n = ladder.first
+    n, one = ladder.first, len(ladder.parts) == 1
     levels = ladder.up(B.ask(blocks.select("block", "payload", "grp"), entries_of, n, "flushed", ["grp"]), joined, ENTRY, by="grp")
     index = FingerprintIndex(spark)
     for g in range(batches):
-        index.append(levels[-1].where(F.col("grp") == g).drop("grp"))
+        index.append(levels[-1], g)
     flags = store(index.probe(levels[-1].drop("grp"), appended=True), "flags", "none")
     flags = ladder.down(flags, levels, joined, np.dtype(np.uint8), ENTRY, by="grp", share=published_once)
 
@@ -253,8 +258,9 @@ def dedup(docs: DataFrame, batches: int = BATCHES, texts: bool = False) -> DataF
         asked = distinct(asked["v"], asked["s"], asked["n"])[0]
         return pa.Table.from_batches([B.rows_of(block, B.deal(asked, 1, n))])
 
-    levels = ladder.up(store(B.meet(blocks, flags, n, windows, B.ASK), "windows", "none"), joined, WINDOW)
-    verdicts = ladder.down(B.answer(levels[-1], count_windows, WINDOW, "verdicts"), levels, joined, np.dtype(np.uint8), WINDOW)
+    asked = B.meet(blocks, flags, n, windows, B.ASK)
+    levels = ladder.up(asked if one else store(asked, "windows", "none"), joined, WINDOW)
+    verdicts = ladder.down(B.answer(levels[-1], count_windows, WINDOW, None if one else "verdicts"), levels, joined, np.dtype(np.uint8), WINDOW)
     both = flags.unionByName(verdicts.withColumn("p", F.col("p") + n))
 
     def cut(block: int, payload: bytes, got: dict[int, bytes]) -> pa.Table:

@@ -1,10 +1,12 @@
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
 from loamgrid.llm import blocks as B
+from loamgrid.llm import shared
 from loamgrid.llm import substring_dedup as S
 from loamgrid.llm.wordhash import normalise
 
@@ -49,6 +51,27 @@ def test_the_query_probes_compacted_runs(awkward, monkeypatch):
     assert compactions == [S.FAN_IN + 1] and runs == [S.BATCHES - S.FAN_IN]
 
 
+def test_few_files_are_written_on_the_way(awkward):
+    """Each file and folder on a file: path costs the executor a process of its own, so that batches have no files apart."""
+    first = len(shared._MADE)
+    S.dedup(awkward).count()
+    files = {Path(p).name: len([*Path(p.removeprefix("file://")).rglob("*.parquet")]) for p in shared._MADE[first:]}
+    assert set(files) == {"blocks", "flushed", "run", "flags"}
+    assert 0 < files["flushed"] <= files["blocks"] <= 3
+
+
+def test_runs_of_one_table_are_read_in_one_pass(spark):
+    rows = [(b, b % 3, bytes([b]), b % 5) for b in range(20)]
+    table = shared.store(spark.createDataFrame(rows, B.ASK + ", grp int"), "flushed")
+    index = S.FingerprintIndex(spark)
+    index.append(spark.createDataFrame([(99, 0, b"z")], B.ASK))
+    for g in (0, 2, 3):
+        index.append(table, g)
+    found = index.history()
+    assert sorted(tuple(r) for r in found.collect()) == sorted([r[:3] for r in rows if r[3] in (0, 2, 3)] + [(99, 0, b"z")])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
 def test_empty_table(nothing):
     assert S.dedup(nothing).count() == 0
 
